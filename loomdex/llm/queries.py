@@ -32,5 +32,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import mixing
+
+    taken = mixing.copies(_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import sharding
+
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_mix": op2_mix,
+    "op3_shard": op3_shard,
+    "op6_search": op6_search,
+}
 ORACLE_SQL: dict[str, str] = {}
