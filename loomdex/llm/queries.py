@@ -52,10 +52,32 @@ def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def crc_remainder(n: int) -> F.Column:
+    """crc32 of doc_id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    filters = langid.learn(docs.where(crc_remainder(3) != 1))
+    return langid.predict(docs, filters).select("doc_id", (crc_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import quality
+
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
     "op3_shard": op3_shard,
+    "op4_langid": op4_langid,
     "op6_search": op6_search,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
