@@ -29,7 +29,7 @@ from loomdex.llm._words import column, mix, slices
 
 N, HASHES, SLOTS_PER_GRAM = 4, 3, 16
 #: The share that puts an n-gram into a language's filter, which bounds a filter to 1 / MIN_SHARE n-grams.
-MIN_SHARE = 1e-5
+MIN_SHARE = 1e-4
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
