@@ -65,6 +65,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters).select("doc_id", (crc_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import ngram_join
+
+    joined = ngram_join.components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return joined.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm import quality
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op4_langid": op4_langid,
     "op6_search": op6_search,
+    "op7_join": op7_join,
     "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
