@@ -72,6 +72,13 @@ def op7_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import line_dedup
+
+    cleaned = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("__lines").alias("n_lines"), F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"), "text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm import quality
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op6_search": op6_search,
     "op7_join": op7_join,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
