@@ -86,6 +86,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import lm
+
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lm.fit(docs.where(crc_remainder(7) != 2))
+    scored = lm.score(docs, model, counts)
+    return scored.select("doc_id", (crc_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
@@ -95,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_join": op7_join,
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
+    "op10_lm": op10_lm,
 }
 ORACLE_SQL: dict[str, str] = {}
