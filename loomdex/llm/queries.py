@@ -46,6 +46,15 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document with a repeated passage; documents without any have no row."""
+    from loomdex.llm import substring_dedup
+
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    largest = F.lit((1 << 63) - 1)
+    return found.select(F.nullif(F.col("k"), largest).alias("doc_id"), "n_shared_words", "n_removed_words", "spans", "clusters")
+
+
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm import ann
 
@@ -100,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_shard": op3_shard,
     "op4_langid": op4_langid,
+    "op5_passages": op5_passages,
     "op6_search": op6_search,
     "op7_join": op7_join,
     "op8_lines": op8_lines,
