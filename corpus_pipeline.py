@@ -1,15 +1,65 @@
-"""A corpus pipeline of five stages; each works on all that the one before it kept."""
+"""A corpus pipeline of five stages; each works on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a table with the columns of documents;
+the last returns the coded corpus. Between stages tables are written as Parquet in the
+session's shared folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdex.llm import bpe, line_dedup, mixing, ngram_join, quality
+from loomdex.llm._store import materialize
+from loomdex.llm.queries import bpe_model_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules (9): documents that the base rules or the learned decision list reject go."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (8): repeated lines go; a document that loses all its words with them goes too."""
+    cleaned = line_dedup.dedup(docs)
+    cleaned = cleaned.where((F.size("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    counted = cleaned.withColumn("n_chars", F.when(F.size("__removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return counted.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (7): of documents that links of 5-word sets (Jaccard 0.8 or more) connect, the smallest id stays."""
+    joined = ngram_join.components(docs, n=5, num=80, den=100)
+    gone = joined.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing (2): each document as often as systematic sampling to the sources' targets takes it."""
+    return mixing.mix(docs)
+
+
+def code(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE (1): the ids of every text, and the text that they decode to."""
+    coded = bpe.encode_decode(docs, bpe_model_path())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", keep_good),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard", one_of_each),
+    ("mix", mix_sources),
+    ("bpe", code),
+]
+#: Line dedup's SimHash, the join's components and BPE merges have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,12 @@ def word_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def identity(key: str, source: str, text: str) -> F.Column:
+    """A 64-bit identity of a row's key, source and text."""
+    parts = [F.col(key), F.col(source), F.col(text)]
+    return F.xxhash64(*parts, *(p.isNull() for p in parts))
+
+
 def targets(sizes: DataFrame, source: str, size: str, weights: tuple = WEIGHTS, most: int = 3) -> DataFrame:
     """Adds each source's target to (source, size): weights repeat in code-point order (null last) and share the whole.
 
@@ -58,11 +64,11 @@ def targets(sizes: DataFrame, source: str, size: str, weights: tuple = WEIGHTS,
 
 
 def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", size: F.Column | None = None, weights: tuple = WEIGHTS, most: int = 3, seed: int = 17, draws: int = 32) -> DataFrame:
-    """(key, source, __text_hash, size, source_size, target, copies): how often the mix takes each document."""
+    """(key, source, __id, size, source_size, target, copies): how often the mix takes each document."""
     size = word_count(text) if size is None else size
-    slim = docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.xxhash64(text).alias("__text_hash"), size.alias("__size"))
+    slim = docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), identity(key, source, text).alias("__id"), size.alias("__size"))
     # One range sort over (source, size); rows are numbered in each part, and parts are offset by their counts.
-    order = ["__source", "__size", "__shuffled", "__key", "__text_hash"]
+    order = ["__source", "__size", "__shuffled", "__key", "__id"]
     shuffled = F.xxhash64(F.col("__key"), F.lit(seed))
     ranged = slim.withColumn("__shuffled", shuffled).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
@@ -90,25 +96,20 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     chosen = placed.groupBy("__source").agg((F.least(*totals) if draws > 1 else totals[0])["start"].alias("__start"))
     final = placed.alias("p").join(chosen.alias("s"), F.col("p.__source").eqNullSafe(F.col("s.__source")))
     return final.select(
-        F.col("__key").alias(key), F.col("p.__source").alias(source), "__text_hash", F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", passed(F.col("__start")).alias("copies")
+        F.col("__key").alias(key), F.col("p.__source").alias(source), "__id", F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", passed(F.col("__start")).alias("copies")
     )
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it (not at all for 0 copies).
 
-    Rows that agree in key, source and text share their copies evenly as ranked.
+    Rows that agree in key, source and text share their copies evenly.
     """
     taken = copies(docs, key, source, text, **options)
-    same = Window.partitionBy(key, source, "__text_hash")
-    counted = taken.groupBy(key, source, "__text_hash").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    left = docs.withColumn("__text_hash", F.xxhash64(text)).alias("d")
-    right = counted.alias("c")
-    on = F.col(f"d.{key}").eqNullSafe(F.col(f"c.{key}")) & F.col(f"d.{source}").eqNullSafe(F.col(f"c.{source}")) & (F.col("d.__text_hash") == F.col("c.__text_hash"))
-    joined = left.join(right, on).select("d.*", "c.__copies", "c.__rows")
-    single = joined.where("__rows = 1")
-    # Of n equal rows with c copies in all, the first c % n rows give one more.
-    several = joined.where("__rows > 1").withColumn("__i", F.row_number().over(same.orderBy(F.lit(0))) - 1)
-    several = several.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__i") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__i")
-    each = single.unionByName(several).where("__copies > 0")
+    counted = taken.where("copies > 0").groupBy("__id").agg(F.sum("copies").alias("__copies"))
+    joined = docs.withColumn("__id", identity(key, source, text)).join(counted, "__id")
+    # Of n equal rows with c copies in all, each gives c / n, and the first c % n one more.
+    same = Window.partitionBy("__id")
+    each = joined.withColumn("__rows", F.count("*").over(same)).withColumn("__i", F.row_number().over(same.orderBy("__id")) - 1)
+    each = each.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__i") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)).where("__copies > 0")
     return each.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

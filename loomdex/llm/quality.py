@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomdex.llm._words import SPACE, column, slices, windows, words
 
@@ -114,17 +115,17 @@ def _repeats(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return total[rows[1:]] - total[rows[:-1]]
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, statistics ...) of every whole text."""
-    kind = docs.schema[key].dataType.simpleString()
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, statistics ..., carry ...) of every whole text; columns to carry along must not be named like a statistic."""
     names = [*BASE, *EXTRA]
+    schema = T.StructType([docs.schema[key], *(T.StructField(x, T.LongType()) for x in names), *(docs.schema[c] for c in carry)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             got = statistics_of(column(part, text))
-            yield pa.RecordBatch.from_arrays([column(part, key), *(pa.array(got[x], pa.int64()) for x in names)], [key, *names])
+            yield pa.RecordBatch.from_arrays([column(part, key), *(pa.array(got[x], pa.int64()) for x in names), *(column(part, c) for c in carry)], [key, *names, *carry])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{x} long" for x in names))
+    return docs.select(*dict.fromkeys([key, text, *carry])).mapInArrow(run, schema)
 
 
 def base_failed() -> F.Column:
@@ -251,11 +252,17 @@ def verdict(rules: list[Rule]) -> F.Column:
     return out.otherwise(F.lit(True))
 
 
-def learn_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", most_rows: int = TRAINING_ROWS) -> list[Rule]:
-    """Learns from statistics of labelled rows that pass the base rules; label 0 is bad. At most ``most_rows`` rows, lowest hashes first."""
-    known = labels.select(key, F.col(label).alias("__label")).where(F.col("__label").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("__label").alias("__label"))
-    joined = stats.where(~base_failed()).join(known, key).orderBy(F.xxhash64(key), *BASE).limit(most_rows)
-    rows = joined.select("__label", *BASE, *EXTRA).toPandas()
+def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = TRAINING_ROWS) -> list[Rule]:
+    """Learns from the statistics of labelled documents that pass the base rules; label 0 is bad.
+
+    At most ``most_rows`` labels, those of lowest hash, are used; so few rows can be
+    broadcast to the documents whatever the table's size.
+    """
+    known = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")).where(F.col("__label").isNotNull() & F.col("__key").isNotNull())
+    known = known.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(most_rows)
+    some = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key")
+    seen = statistics(some, "__key", "__text", ("__label",)).where(~base_failed())
+    rows = seen.orderBy("__key", *BASE).limit(2 * most_rows).select("__label", *BASE, *EXTRA).toPandas()
     if not len(rows):
         return []
     x = feature_matrix({c: rows[c].to_numpy() for c in (*BASE, *EXTRA)})
@@ -264,9 +271,15 @@ def learn_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label:
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, statistics ..., base_failed, kept): the base rules and the learned list on every document."""
-    from loomdex.llm._store import materialize
-
-    stats = materialize(statistics(docs, key, text))
-    rules = learn_rules(stats, labels, key)
-    failed = F.coalesce(base_failed(), F.lit(True))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+    rules = learn_rules(docs, labels, key, text)
+    return statistics(docs, key, text).withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that the base rules and the learned list keep, with all their columns."""
+    rules = learn_rules(docs, labels, key, text)
+    renamed = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+    place = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    others = tuple(c for c in renamed.columns if c not in (place[key], place[text]))
+    judged = statistics(renamed, place[key], place[text], (place[text], *others)).where(~base_failed() & verdict(rules))
+    return judged.select(*(F.col(place[c]).alias(c) for c in docs.columns))
