@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Files above this size are hashed in part: head and tail of PART bytes, and the size.
 LARGE, PART = 2 << 20, 1 << 20
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _xxh64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import xxhash
 

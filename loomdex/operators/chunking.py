@@ -39,14 +39,14 @@ def line_windows(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
 
 
 def _units(s: str) -> int:
-    return len(s) + sum(1 for c in s if c > "￿")
+    return len(s) + sum(1 for c in s if c > "\uffff")
 
 
 def _cut(line: str, limit: int) -> list[str]:
     """Pieces of at most ``limit`` UTF-16 units; a pair of surrogates stays whole unless the limit is 1."""
     out, now, size = [], [], 0
     for c in line:
-        n = 2 if c > "￿" else 1
+        n = 2 if c > "\uffff" else 1
         if now and size + n > limit:
             out.append("".join(now))
             now, size = [], 0

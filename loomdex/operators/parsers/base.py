@@ -23,6 +23,11 @@ class Source:
         self.text = text
         self.code = blanks.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
         self._breaks = [i for i, c in enumerate(text) if c == "\n"]
+        #: Lines, from 1, that begin inside a string or comment.
+        self.inside: set[int] = set()
+        for m in blanks.finditer(text):
+            if "\n" in m[0]:
+                self.inside.update(range(self.line(m.start()) + 1, self.line(m.end() - 1) + 1))
 
     def line(self, at: int) -> int:
         return bisect.bisect_left(self._breaks, at) + 1

@@ -39,6 +39,9 @@ def parse(text: str) -> list[Declaration]:
         last = _logical(code, at)
         i = last + 1
         while i < len(code):
+            if i + 1 in source.inside:
+                last, i = i, i + 1
+                continue
             if code[i].strip() and _indent(code[i]) <= indent:
                 break
             if code[i].strip():
@@ -53,7 +56,7 @@ def parse(text: str) -> list[Declaration]:
         i, decorated = first, None
         while i < stop:
             line = code[i]
-            if not line.strip() or _indent(line) != indent:
+            if i + 1 in source.inside or not line.strip() or _indent(line) != indent:
                 i += 1
                 continue
             if line.lstrip().startswith("@"):
