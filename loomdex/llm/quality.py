@@ -28,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_upper", "n_digits", "n_letters", "n_punct", "n_distinct_words", "n_chars")
-#: Rows of labelled statistics that the list is learned from at most, a bounded sample by hash of the id.
+#: Labelled documents that the list is learned from, a bounded sample by hash of the id.
 TRAINING_ROWS = 20_000
 
 _START = np.ones(256, bool)
@@ -255,14 +255,17 @@ def verdict(rules: list[Rule]) -> F.Column:
 def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = TRAINING_ROWS) -> list[Rule]:
     """Learns from the statistics of labelled documents that pass the base rules; label 0 is bad.
 
-    At most ``most_rows`` labels, those of lowest hash, are used; so few rows can be
-    broadcast to the documents whatever the table's size.
+    About ``most_rows`` labels at most, those whose hash lies under a threshold, are used;
+    so few rows can be broadcast to the documents whatever the table's size.
     """
     known = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")).where(F.col("__label").isNotNull() & F.col("__key").isNotNull())
-    known = known.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(most_rows)
+    known = known.groupBy("__key").agg(F.max("__label").alias("__label"))
+    share = most_rows / max(known.count(), 1)
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("__key", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
     some = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key")
     seen = statistics(some, "__key", "__text", ("__label",)).where(~base_failed())
-    rows = seen.orderBy("__key", *BASE).limit(2 * most_rows).select("__label", *BASE, *EXTRA).toPandas()
+    rows = seen.select("__key", "__label", *BASE, *EXTRA).toPandas().sort_values(["__key", *BASE, *EXTRA])
     if not len(rows):
         return []
     x = feature_matrix({c: rows[c].to_numpy() for c in (*BASE, *EXTRA)})
