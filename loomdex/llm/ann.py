@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a tile, which bound a task's memory: a product holds QUERY_TILE x CANDIDATE_TILE numbers.
-QUERY_TILE, CANDIDATE_TILE = 2048, 2048
+QUERY_TILE, CANDIDATE_TILE = 2048, 8192
 
 
 def usable(vector: F.Column) -> F.Column:
@@ -64,7 +64,7 @@ def tile_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
         heap: list[tuple[float, int]] = []
         for j in range(0, len(at), 4096):
             part = at[j : j + 4096]
-            score = np.einsum("ij,j->i", c[part], q[i])
+            score = (c[part] * q[i]).cumsum(axis=1)[:, -1]  # summed in order of the components
             heap = heapq.nlargest(k, [*heap, *zip(score.tolist(), (-c_ids[part]).tolist())])
         best.append(heap)
     return best
@@ -111,7 +111,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, key: str = "vec_i
 def brute_force(ids: np.ndarray, x: np.ndarray, asked: Iterable[int], k: int) -> Iterator[tuple[int, int, int, float]]:
     """The definition, for tests: (query, rank, id, score)."""
     for i in asked:
-        score = x.astype(np.float64) @ x[i].astype(np.float64)
+        score = (x.astype(np.float64) * x[i].astype(np.float64)).cumsum(axis=1)[:, -1]
         order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[i]][:k]
         for r, j in enumerate(order, 1):
             yield int(ids[i]), r, int(ids[j]), float(score[j])
