@@ -31,14 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm._counts import most_frequent
+from loomdex.llm._store import materialize
 from loomdex.llm._words import column, slices, utf8
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than a single space or line feed between words: such texts are split as a whole.
-UNUSUAL = r"  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
+UNUSUAL = r"  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LONG = 64
 #: Bounds of the lexicon (words, and bytes of one) and of each worker's memo of words.
-LEXICON_WORDS, LEXICON_BYTES, MEMO_WORDS = 60_000, 48, 600_000
+LEXICON_WORDS, LEXICON_BYTES, MEMO_WORDS = 60_000, 48, 400_000
 
 
 # ---------------------------------------------------------------- model file
@@ -418,7 +420,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, model: dict, text: str = "text", most: int = LEXICON_WORDS) -> bytes:
     """Counts all words of all texts and compiles the most frequent ``most`` (a bound on its size only)."""
-    top = count_words(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    top = most_frequent(materialize(count_words(docs, text).where("n > 1")), most).collect()
     find = regex.compile(PATTERN).findall
     entries: dict[bytes, list[int]] = {}
     for row in top:
