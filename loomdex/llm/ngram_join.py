@@ -8,10 +8,10 @@ tokens, and the two smallest stand among the first size - o + 2 of both: there,
 of frequent tokens are indexed instead, which far fewer sets share. Sets of more than
 ``PAIRED`` tokens index frequent tokens one by one; sets near that size do both.
 
-Equal sets are one class from the start. In a bucket of the index every class is
-compared with the bucket's smallest one; classes that this connects need no more
-comparison with each other, and only pairs of classes that are still apart are compared
-after that. So a group of n near copies costs about n comparisons, and no link that
+Equal sets are one class from the start. Every class is compared with one pivot, the
+smallest set of one of its buckets, then with the pivots of buckets that are not yet
+connected; classes that this connects need no more comparison with each other, and only
+pairs of classes that are still apart are compared after that. So a group of n near copies costs about n comparisons, and no link that
 would join two components is missed.
 
 Defined cases: a text without words, or null, has the empty set and links with nothing;
@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomdex.llm._graph import connected_components
+from loomdex.llm._sieve import sieve
 from loomdex.llm._store import materialize
 from loomdex.llm._words import column, mix, slices, windows, words
 
-#: Counters of the frequency sketch; its log2 classes (a byte each) are what workers get.
+#: Counters of the frequency sketch; their classes (a byte each) are what workers get.
 SKETCH, CHUNKS = 1 << 20, 64
 PAIRED = 400
+#: Cells of a set's histogram, a byte each: cell-wise minima bound two sets' overlap from above.
+CELLS = 256
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -65,8 +68,20 @@ def class_ids(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix(mix(per_row(mix(h)) + counts) + per_row(mix(h + _SALT)))
 
 
+def histograms(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Each set's tokens by cell; 255 stands for 255 or more."""
+    rows = len(ptr) - 1
+    cell = np.repeat(np.arange(rows), np.diff(ptr)) * CELLS + (mix(h) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=rows * CELLS), 255).astype(np.uint8).reshape(rows, CELLS)
+
+
+def steps(count: np.ndarray) -> np.ndarray:
+    """Frequency classes, eight for each doubling: fine enough to tell a repeated token from a sketch cell's other tokens."""
+    return np.minimum(np.floor(8 * np.log2(count + 1)), 255).astype(np.uint8)
+
+
 def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(key, size, cid) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
+    """(key, size, cid, cells) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -75,7 +90,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.array([c.tobytes() for c in histograms(h, ptr)], pa.binary())],
                 ["key", "size", "cid", "chunk", "counts"],
             )
         if counts.any():
@@ -91,7 +106,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
                 got = np.frombuffer(raw.as_buffer(), np.int64)
                 sums[c] = sums[c] + got if c in sums else got
         for c, s in sums.items():
-            classes = np.ceil(np.log2(s + 1)).astype(np.uint8)
+            classes = steps(s)
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([classes.tobytes()], pa.binary()), pa.array([int(s.sum())], pa.int64())], ["chunk", "classes", "n"])
 
     both = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_renamed(run, key, text), "key long, size long, cid long, chunk int, counts binary"))
@@ -99,8 +114,8 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
     for row in both.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(total, "chunk int, classes binary, n long").collect():
         classes[row.chunk] = np.frombuffer(row.classes, np.uint8)
         tokens += row.n
-    frequent = int(np.ceil(np.log2(max(256, 4 * tokens / SKETCH)))) + 1
-    return both.where("chunk is null").select("key", "size", "cid"), classes.reshape(-1), frequent
+    frequent = int(steps(np.array([max(256, 4 * tokens / SKETCH)]))[0])
+    return both.where("chunk is null").select("key", "size", "cid", F.col("counts").alias("cells")), classes.reshape(-1), frequent
 
 
 def _renamed(run, key: str, text: str):
@@ -160,7 +175,7 @@ def _index(docs: DataFrame, n: int, text: str, classes: np.ndarray, frequent: in
 
 def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """(cid, tokens) of the wanted classes, from one document of each."""
-    one = members.join(wanted, "cid").groupBy("cid").agg(F.min("key").alias("key"))
+    one = materialize(members.join(wanted, "cid").groupBy("cid").agg(F.min("key").alias("key")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -171,8 +186,31 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
             tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(want[rows]), pa.array(tokens, pa.binary())], ["cid", "tokens"])
 
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(one, "key").select("cid", "text")
-    return materialize(texts.mapInArrow(run, "cid long, tokens binary").dropDuplicates(["cid"]))
+    texts = sieve(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), one, "key")
+    # A repeated id may give a class twice, which at worst gives a link twice.
+    return materialize(texts.join(one, "key").select("cid", "text").mapInArrow(run, "cid long, tokens binary"))
+
+
+def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose histograms allow the overlap that they need; most false candidates end here."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in "xy")
+            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            sizes = column(batch, "m").to_numpy() + column(batch, "n").to_numpy()
+            # Jaccard >= num / den means (num + den) * common >= num * (size + size).
+            keep = ((num + den) * bound >= num * sizes) | ((x == 255) & (y == 255)).any(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    cells = members.join(ends, "cid").select("cid", "size", "cells").dropDuplicates(["cid"])
+    cells = materialize(cells)
+    first = pairs.join(cells.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("cells").alias("x")), "a")
+    both = first.join(cells.select(F.col("cid").alias("b"), F.col("size").alias("n"), F.col("cells").alias("y")), "b")
+    return materialize(both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -203,25 +241,41 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
     shared = index.withColumn("pivot", F.min(F.struct("size", "cid")).over(bucket)).withColumn("many", F.count("*").over(bucket)).where("many > 1")
     shared = materialize(shared.select("bucket", "cid", "size", F.col("pivot.cid").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
     near = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
-    stars = shared.where((F.col("cid") != F.col("pivot")) & near(F.col("size"), F.col("pivot_size"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = materialize(stars)
-    ends = stars.select(F.col("a").alias("cid")).unionByName(stars.select(F.col("b").alias("cid"))).distinct()
-    links = materialize(_verify(stars, _token_sets(docs, members, ends, n, key, text), num, den))
-    comps = materialize(connected_components(links))
-    # What is still apart within a bucket is compared pair by pair.
-    placed = shared.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    apart = placed.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high").select("bucket", "cid", "size", "component")
-    apart = materialize(apart)
-    left, right = (apart.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "component"))) for side in "ab")
+    links = tried = comps = None
+
+    def compare(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) that no round has seen and brings the components up to date."""
+        nonlocal links, tried, comps
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if comps is not None and pairs.isEmpty():
+            return
+        likely = _possible(pairs, members, num, den)
+        ends = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
+        found = materialize(_verify(likely, _token_sets(docs, members, ends, n, key, text), num, den))
+        links = found if links is None else links.unionByName(found)
+        comps = materialize(connected_components(links))
+
+    def apart() -> DataFrame:
+        """(bucket, cid, size, component, pivot, ...) of buckets whose classes are not all connected yet."""
+        placed = shared.select("bucket", "cid", "size").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        ends = F.min("component").over(bucket) != F.max("component").over(bucket)
+        least = F.min(F.struct("size", "cid", "component")).over(bucket)
+        rows = placed.withColumn("open", ends).withColumn("p", least).where("open")
+        return materialize(rows.select("bucket", "cid", "size", "component", F.col("p.cid").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.component").alias("pivot_component")))
+
+    # First each class against one pivot, then against those of buckets that are still
+    # apart, then what is apart after that pair by pair.
+    met = shared.where((F.col("cid") != F.col("pivot")) & near(F.col("size"), F.col("pivot_size")))
+    compare(met.groupBy(F.col("cid").alias("a")).agg(F.min(F.struct("pivot_size", "pivot"))["pivot"].alias("b")))
+    met = apart().where((F.col("component") != F.col("pivot_component")) & near(F.col("size"), F.col("pivot_size")))
+    compare(met.select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+    rest = apart()
+    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "component"))) for side in "ab")
     rest = left.join(right, "bucket").where((F.col("cid_a") > F.col("cid_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("size_a"), F.col("size_b")))
-    rest = rest.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-    done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(done, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("cid")).unionByName(rest.select(F.col("b").alias("cid"))).distinct()
-        more = _verify(rest, _token_sets(docs, members, ends, n, key, text), num, den)
-        comps = materialize(connected_components(links.unionByName(more)))
-    full = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    compare(rest.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
+    full = members.drop("cells").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = full.where("size > 0").groupBy("component").agg(F.min("key").alias("component_id"))
     return full.join(least, "component", "left").select(
         F.col("key").alias(key), "size", "cid", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")

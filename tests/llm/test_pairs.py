@@ -62,7 +62,7 @@ def copies_corpus(seed=7):
     return [*out, (n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one"), (n + 4, "One"), (n + 5, "a b"), (n + 6, "b a")]
 
 
-@pytest.mark.parametrize(("n", "num", "den", "frequent"), [(3, 90, 100, None), (3, 90, 100, 3), (5, 80, 100, 2), (1, 50, 100, 2)])
+@pytest.mark.parametrize(("n", "num", "den", "frequent"), [(3, 90, 100, None), (3, 90, 100, 20), (5, 80, 100, 2), (1, 50, 100, 14)])
 def test_join(spark, monkeypatch, n, num, den, frequent):
     rows = copies_corpus()
     if frequent is not None:  # makes the token combinations work on a small table
@@ -82,7 +82,7 @@ def test_join_of_nothing(spark):
 
 def test_sets_over_the_pair_limit(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRED", 40)
-    test_join(spark, monkeypatch, 3, 90, 100, 2)
+    test_join(spark, monkeypatch, 3, 90, 100, 20)
 
 
 def test_components(spark):
