@@ -101,7 +101,7 @@ def sanitize(root: str, path: str) -> str:
     return os.path.relpath(real, base).replace(os.sep, "/")
 
 
-_PRINTABLE = r"^[\p{L}\p{N}\p{P}\p{Zs}\p{S}\p{M}]*$"
+_PRINTABLE = r"\A[\p{L}\p{N}\p{P}\p{Zs}\p{S}\p{M}]*\z"
 
 
 def valid_filter_value(value: Column) -> Column:

@@ -66,6 +66,8 @@ def update(nodes: DataFrame, changed: DataFrame, removed: DataFrame | None = Non
     touched = changed.select("path") if removed is None else changed.select("path").unionByName(removed.select("path"))
     dirty = touched.select(F.explode(text.ancestors(F.col("path"))).alias("path")).distinct()
     clean = nodes.where("isDirectory").join(dirty, "path", "left_anti")
+    if removed is not None:
+        clean = delete_subtrees(clean, removed)
     below = files.unionByName(clean.select("path", "hash", "parentPath", "isDirectory"))
     deepest = dirty.agg(F.max(depth(F.col("path"))).alias("d")).first().d or 0
     for d in range(deepest, 0, -1):
