@@ -139,6 +139,22 @@ def test_lines(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def removed_lines(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r.doc_id for r in line_dedup.dedup(docs).collect() if r["__removed"]}
+
+
+def test_lines_with_one_changed_word(spark):
+    draw = random.Random(12)
+    lines = []
+    for _ in range(40):
+        w = sentence(draw, 20).split()
+        changed = list(w)
+        changed[draw.randrange(20)] = sentence(draw, 1)
+        lines += [" ".join(w), " ".join(changed)]
+    assert removed_lines(spark, lines) == set(range(1, 80, 2))
+
+
 def test_lines_of_a_large_group(spark):
     draw = random.Random(9)
     base = sentence(draw, 200).split()
