@@ -155,6 +155,16 @@ def test_lines_with_one_changed_word(spark):
     assert removed_lines(spark, lines) == set(range(1, 80, 2))
 
 
+def test_short_lines_with_a_change(spark):
+    draw = random.Random(13)
+    lines = []
+    for _ in range(20):
+        w = sentence(draw, 5).split()
+        typo = " ".join(w)
+        lines += [typo, typo[:-1] + "x", " ".join([*w[:2], w[2][:-1] + "z", *w[3:]])]
+    assert removed_lines(spark, lines) == {i for i in range(60) if i % 3}
+
+
 def test_lines_of_a_large_group(spark):
     draw = random.Random(9)
     base = sentence(draw, 200).split()
