@@ -165,6 +165,16 @@ def test_short_lines_with_a_change(spark):
     assert removed_lines(spark, lines) == {i for i in range(60) if i % 3}
 
 
+def test_lines_of_the_same_words_in_other_orders(spark):
+    draw = random.Random(14)
+    w = sentence(draw, 24).split()
+    lines = []
+    for _ in range(6):
+        draw.shuffle(w)
+        lines += [" ".join(["on", *w]), " ".join(["at", *w])]
+    assert removed_lines(spark, lines) == set(range(1, 12, 2))
+
+
 def test_lines_of_a_large_group(spark):
     draw = random.Random(9)
     base = sentence(draw, 200).split()
