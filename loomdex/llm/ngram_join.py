@@ -188,7 +188,18 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
 
     texts = sieve(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), one, "key")
     # A repeated id may give a class twice, which at worst gives a link twice.
-    return materialize(texts.join(one, "key").select("cid", "text").mapInArrow(run, "cid long, tokens binary"))
+    found = texts.join(one, "key").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
+
+    def run_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            h, ptr = sets_of(column(part, "text"), n)
+            tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(class_ids(h, ptr).view(np.int64)), pa.array(tokens, pa.binary())], ["cid", "tokens"])
+
+    # Classes that only rows with a null id hold are found by their sets.
+    bare = docs.where(F.col(key).isNull()).select(F.col(text).alias("text")).mapInArrow(run_all, "cid long, tokens binary")
+    bare = bare.join(one.where("key is null").select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    return materialize(found.unionByName(bare))
 
 
 def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:

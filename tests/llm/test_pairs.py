@@ -80,6 +80,13 @@ def test_join_of_nothing(spark):
     assert ngram_join.components(docs.limit(0), 3).count() == 0
 
 
+def test_join_of_near_rows_without_an_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (None, " ".join([*w, "x", "y", "z"])), (9, " ".join([*w, *"xyzuvw"]))]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 95, 100).collect()
+    assert [r.component_id for r in got] == [1, 1, 1]
+
+
 def test_sets_over_the_pair_limit(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRED", 40)
     test_join(spark, monkeypatch, 3, 90, 100, 20)
