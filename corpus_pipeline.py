@@ -29,10 +29,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (7): of documents that links of 5-word sets (Jaccard 0.8 or more) connect, the smallest id stays."""
-    joined = ngram_join.components(docs, n=5, num=80, den=100)
-    gone = joined.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """N-gram Jaccard join (7): of rows that links of 5-word sets (Jaccard 0.8 or more) connect, one stays.
+
+    It is that of the smallest id (null last), there that of the smallest text hash; of
+    rows equal in both any one. Rows are told apart by a number of their own, so repeated
+    and null ids do no harm.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    joined = ngram_join.components(rows, n=5, num=80, den=100, key="__row").select("__row", "component_id")
+    placed = rows.select("__row", "doc_id", F.xxhash64("text").alias("th")).join(joined, "__row")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "__row")
+    first = placed.groupBy("component_id").agg(F.min(rank)["__row"].alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = placed.join(first, "component_id").where(F.col("__row") != F.col("first")).select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_stages(spark, sf_dir, model_path):
     coded = corpus_pipeline.STAGES[-1][1](spark, mixed, sf_dir).collect()
     text = {r.doc_id: r.text for r in mixed.collect()}
     assert len(coded) == mixed.count() and all(r.text == text[r.doc_id] and len(r.ids) == r.n_tokens for r in coded)
+
+
+def test_one_of_each_by_row(spark):
+    near = [" ".join(f"w{i}" for i in range(n)) for n in (60, 61)]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near[0]), (1, near[0]), (None, near[1]), (5, near[1]), (5, other), (None, "a b c d e f"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == [(0, "a b c d e f"), (1, near[0]), (5, other)]
