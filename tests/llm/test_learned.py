@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.llm import langid, lm, quality
 from loomdex.llm.gru import Gru
@@ -189,3 +190,12 @@ def test_gradients():
         down = loss()
         array[place] = keep
         assert grads[name][0][1][place] * 3 == pytest.approx((up - down) / (2 * eps), rel=2e-3, abs=2e-4)
+
+
+def test_language_model_sample_is_whole_texts_by_hash(spark):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model, _ = lm.fit(docs)
+    order = docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("draw")).orderBy("draw").limit(36).collect()
+    want = lm._tokenize(model, pa.array([r.text for r in order]))[0]
+    assert lm._training_ids(docs, model, "doc_id", "text", 142).tolist() == want.tolist()
