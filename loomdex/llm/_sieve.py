@@ -1,21 +1,39 @@
-"""A fixed-size bit filter that keeps most unwanted rows out of a shuffle, in DataFrame expressions."""
+"""Fixed-size bit filters that keep most unwanted rows out of a shuffle."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**20 bits, 128 KB, whatever the tables' sizes. A full filter lets every row pass; it drops no wanted row.
-BITS = 1 << 20
+#: Bits of a filter, whatever the tables' sizes: at most 16,384 rows of 64 are broadcast, or 2 MB as an array. A full
+#: filter lets every row pass; it drops no wanted row.
+BITS, ARRAY_BITS = 1 << 20, 1 << 24
+
+
+def _bits(wanted: DataFrame, column: str, size: int) -> DataFrame:
+    """(w, bits): the words of the filter that hold a bit."""
+    bit = F.pmod(F.xxhash64(column), F.lit(size))
+    return wanted.where(F.col(column).isNotNull()).select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
 
 
 def sieve(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` (no null) may occur in ``wanted``; all that do occur are among them."""
     bit = F.pmod(F.xxhash64(column), F.lit(BITS))
-    words = [0] * (BITS // 64)
-    bits = wanted.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    for row in bits.collect():
-        words[row.w] = row.bits
-    held = F.element_at(F.lit(words).cast("array<bigint>"), (F.floor(bit / 64) + 1).cast("int"))
-    marked = rows.withColumn("__held", held).withColumn("__bit", (bit % 64).cast("int"))
-    return marked.where(F.expr("shiftrightunsigned(__held, __bit) & 1 = 1")).drop("__held", "__bit")
+    words = _bits(wanted, column, BITS).withColumnsRenamed({"w": "__w", "bits": "__held"})
+    spots = rows.withColumn("__w", F.floor(bit / 64).cast("int")).withColumn("__bit", (bit % 64).cast("int"))
+    return spots.join(F.broadcast(words), "__w").where(F.expr("shiftrightunsigned(__held, __bit) & 1 = 1")).select(*rows.columns)
+
+
+def bitmap(wanted: DataFrame, column: str) -> np.ndarray:
+    """The filter of a column as an array of 64-bit words, for workers."""
+    rows = _bits(wanted, column, ARRAY_BITS).toArrow()
+    words = np.zeros(ARRAY_BITS // 64, np.uint64)
+    words[rows["w"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def marked(words: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Whether the filter has each spot, the xxhash64 of a value."""
+    bit = np.mod(spots, ARRAY_BITS)
+    return (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -2,17 +2,23 @@
 
 Tokens are the hashes of a text's n-grams, ordered from rare to frequent by a counting
 sketch over all texts. Two sets with Jaccard >= t overlap in at least o = ceil(t * size)
-tokens, so their smallest common token stands among the first size - o + 1 of both. If
-it is rare, that prefix indexes it by itself. If it is frequent, so are all common
-tokens, and the two smallest stand among the first size - o + 2 of both: there, pairs
-of frequent tokens are indexed instead, which far fewer sets share. Sets of more than
-``PAIRED`` tokens index frequent tokens one by one; sets near that size do both.
+tokens, so each may lack e = size - o of its own in the other. Tokens fall into classes:
+rare ones, of which one in common is enough for a candidate, and frequent ones, split by
+their hash into parts, of which a candidate needs k in common in one part (k = 2, for very
+frequent ones 3). To rob a prefix of every such common combination of a part with p tokens
+takes p - k + 1 missing tokens, so a prefix is extended until these numbers add up to
+e + 1; then the two sets' prefixes must share a combination. The number of parts grows
+with the sets' size, so that a part holds a few tokens and a set of any size has about as
+many combinations as prefix tokens. Sets index themselves for each power of two that a
+partner's size may lie in.
 
 Equal sets are one class from the start. Every class is compared with one pivot, the
-smallest set of one of its buckets, then with the pivots of buckets that are not yet
-connected; classes that this connects need no more comparison with each other, and only
-pairs of classes that are still apart are compared after that. So a group of n near copies costs about n comparisons, and no link that
-would join two components is missed.
+smallest set of one of its buckets. What is in different components after that is put
+into tiles of about ``TILE`` classes (of one component, or of one bucket), and tiles that
+meet in a bucket are compared as blocks, each pair of tiles once however many buckets they
+share; a block gives back links that span what it connects, not all of them. So a group of
+n near copies costs about n comparisons, and no link that would join two components is
+missed.
 
 Defined cases: a text without words, or null, has the empty set and links with nothing;
 fewer words than n form one token; rows that repeat an id are members like others; a
@@ -28,18 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomdex.llm._graph import connected_components
-from loomdex.llm._sieve import sieve
+from loomdex.llm._sieve import bitmap, marked
 from loomdex.llm._store import materialize
 from loomdex.llm._words import column, mix, slices, windows, words
 
 #: Counters of the frequency sketch; their classes (a byte each) are what workers get.
 SKETCH, CHUNKS = 1 << 20, 64
-PAIRED = 400
-#: Cells of a set's histogram, a byte each: cell-wise minima bound two sets' overlap from above.
-CELLS = 256
+#: Very frequent tokens are those of so many more frequency steps than frequent ones (eight for each doubling).
+VERY = 40
+#: Classes of a tile, about.
+TILE = 256
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -68,20 +74,13 @@ def class_ids(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix(mix(per_row(mix(h)) + counts) + per_row(mix(h + _SALT)))
 
 
-def histograms(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Each set's tokens by cell; 255 stands for 255 or more."""
-    rows = len(ptr) - 1
-    cell = np.repeat(np.arange(rows), np.diff(ptr)) * CELLS + (mix(h) >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * CELLS), 255).astype(np.uint8).reshape(rows, CELLS)
-
-
 def steps(count: np.ndarray) -> np.ndarray:
     """Frequency classes, eight for each doubling: fine enough to tell a repeated token from a sketch cell's other tokens."""
     return np.minimum(np.floor(8 * np.log2(count + 1)), 255).astype(np.uint8)
 
 
 def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(key, size, cid, cells) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
+    """(key, size, cid) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -90,24 +89,21 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.array([c.tobytes() for c in histograms(h, ptr)], pa.binary())],
-                ["key", "size", "cid", "chunk", "counts"],
+                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["key", "size", "cid", "chunk", "counts"]
             )
         if counts.any():
-            cut = counts.reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in cut], pa.binary())], ["key", "size", "cid", "chunk", "counts"]
-            )
+            # A counter of one task stops at 65,535; sums only order tokens, so any such rule keeps results exact.
+            cut = np.minimum(counts, 65_535).astype(np.uint16).reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 3 + [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in cut], pa.binary())], ["key", "size", "cid", "chunk", "counts"])
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, raw in zip(column(batch, "chunk").to_pylist(), column(batch, "counts")):
-                got = np.frombuffer(raw.as_buffer(), np.int64)
+                got = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
                 sums[c] = sums[c] + got if c in sums else got
         for c, s in sums.items():
-            classes = steps(s)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([classes.tobytes()], pa.binary()), pa.array([int(s.sum())], pa.int64())], ["chunk", "classes", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([steps(s).tobytes()], pa.binary()), pa.array([int(s.sum())], pa.int64())], ["chunk", "classes", "n"])
 
     both = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_renamed(run, key, text), "key long, size long, cid long, chunk int, counts binary"))
     classes, tokens = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8), 0
@@ -115,7 +111,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
         classes[row.chunk] = np.frombuffer(row.classes, np.uint8)
         tokens += row.n
     frequent = int(steps(np.array([max(256, 4 * tokens / SKETCH)]))[0])
-    return both.where("chunk is null").select("key", "size", "cid", F.col("counts").alias("cells")), classes.reshape(-1), frequent
+    return both.where("chunk is null").select("key", "size", "cid"), classes.reshape(-1), frequent
 
 
 def _renamed(run, key: str, text: str):
@@ -127,28 +123,80 @@ def _renamed(run, key: str, text: str):
     return inner
 
 
+def _parts(level: int, num: int, den: int) -> tuple[int, int, int]:
+    """(largest k, parts of frequent tokens, parts of very frequent ones) for sets that index themselves under 2**level.
+
+    In a part of p tokens p - k + 1 count for the prefix, so parts cost their sets 1 or 2
+    tokens each; there are never so many that a whole set could not reach its e + 1.
+    """
+    least = -(-num * (1 << level) // den)  # the smallest set that may have a partner of this level
+    spare = -(-num * least // den) - 1
+    lacking = (1 << level) - (-(-num * (1 << level) // den)) + 1
+    if spare < 1:
+        return 1, 1, 1
+    if spare < 3:
+        return 2, 1, 1
+    room = max(1, spare // 4)
+    return 3, min(max(1, lacking // 3), room), min(max(1, lacking // 4), room)
+
+
 def index_rows(h: np.ndarray, ptr: np.ndarray, classes: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row): the index entries of each set for Jaccard >= num / den."""
     sizes = np.diff(ptr)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    rank = classes[(h >> np.uint64(44)).astype(np.int64)]
+    rank = classes[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((h, rank, owner))
     h, rank = h[order], rank[order]
-    place = np.arange(len(h)) - ptr[:-1][owner]
-    single = sizes - -(-num * sizes // den) + 1
-    in_single, hot = place < single[owner], rank >= frequent
-    alone = in_single & (~hot | (sizes[owner] * den >= PAIRED * num))
-    alone &= sizes[owner] > 1
-    buckets, rows = [mix(h[alone])], [owner[alone]]
-    paired = np.zeros(len(sizes), bool)
-    paired[owner[in_single & hot]] = True
-    for r in np.flatnonzero(paired & (sizes <= PAIRED) & (sizes > 1)):
-        at = slice(ptr[r], min(ptr[r] + single[r] + 1, ptr[r + 1]))
-        t = h[at][hot[at]]
-        i, j = np.triu_indices(len(t), 1)
-        buckets.append(mix(mix(t[i] + _SALT) + t[j]))
-        rows.append(np.full(len(i), r))
-    return np.concatenate(buckets), np.concatenate(rows)
+    kind = 1 + (rank >= frequent) + (rank >= frequent + VERY)
+    smallest, largest = -(-num * sizes // den), sizes * den // num
+    need = sizes - smallest + 1
+    live = (sizes > 0) & ((smallest < sizes) | (largest > sizes))  # others have no partner but equal sets
+    low, high = (np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) for x in (smallest, largest))
+    buckets, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    plain = live & (np.bincount(owner, kind > 1, len(sizes)) == 0)  # rare tokens only: alike under each level
+    low[plain] = high[plain]
+    for level in range(int(low[live].min(initial=0)), int(high[live].max(initial=-1)) + 1):
+        some = live & (low <= level) & (level <= high)
+        at = np.flatnonzero(some[owner])
+        if not len(at):
+            continue
+        most, twos, threes = _parts(level, num, den)
+        o, t, k = owner[at], h[at], np.minimum(kind[at], most)
+        spread = mix(t ^ _SALT)
+        part = np.where(k == 2, 1 + (spread % np.uint64(twos)).astype(np.int64), np.where(k == 3, 1 + twos + (spread % np.uint64(threes)).astype(np.int64), 0))
+        # Each token's place among the tokens of its part.
+        by = np.lexsort((part, o))
+        fresh = np.concatenate([[True], (o[by][1:] != o[by][:-1]) | (part[by][1:] != part[by][:-1])])
+        start = np.flatnonzero(fresh)
+        place = np.empty(len(t), np.int64)
+        place[by] = np.arange(len(t)) - start[np.cumsum(fresh) - 1]
+        counts = place >= k - 1
+        done = np.cumsum(counts)
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        before = (done - counts)[first]
+        inside = done - counts - np.repeat(before, np.diff(np.append(first, len(o)))) < need[o]
+        alone = inside & (k == 1)
+        buckets.append(mix(t[alone]))
+        rows.append(o[alone])
+        by = by[inside[by] & (k[by] > 1)]
+        o, t, k, part = o[by], t[by], k[by], part[by]
+        same = lambda d: (o[d:] == o[:-d]) & (part[d:] == part[:-d])
+        d = 1
+        while d < len(t) and (near := same(d)).any():
+            i = np.flatnonzero(near & (k[d:] == 2))
+            buckets.append(mix(mix(t[i] + _SALT) + t[i + d]))
+            rows.append(o[i])
+            for e in range(1, d):
+                i = np.flatnonzero(near & (k[d:] == 3))
+                buckets.append(mix(mix(mix(t[i] + _SALT) + t[i + e]) + t[i + d]))
+                rows.append(o[i])
+            d += 1
+    bucket, row = np.concatenate(buckets), np.concatenate(rows)
+    order = np.lexsort((bucket, row))
+    bucket, row = bucket[order], row[order]
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
+    return bucket[new], row[new]
 
 
 def _index(docs: DataFrame, n: int, text: str, classes: np.ndarray, frequent: int, num: int, den: int) -> DataFrame:
@@ -163,82 +211,157 @@ def _index(docs: DataFrame, n: int, text: str, classes: np.ndarray, frequent: in
             _, first = np.unique(cid, return_index=True)
             new = first[~np.isin(cid[first], seen)]
             seen = np.concatenate([seen, cid[new]])
-            bucket, row = index_rows(h, ptr, table, frequent, num, den)
-            fresh = np.isin(row, new)
-            bucket, row = bucket[fresh], row[fresh]
+            fresh = np.zeros(len(cid), bool)
+            fresh[new] = True
+            sizes = np.diff(ptr)[fresh]
+            h, cid = h[np.repeat(fresh, np.diff(ptr))], cid[fresh]
+            bucket, row = index_rows(h, np.concatenate([[0], np.cumsum(sizes)]), table, frequent, num, den)
             for at in range(0, len(row), 200_000):
                 r = row[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 200_000].view(np.int64)), pa.array(cid[r].view(np.int64)), pa.array((ptr[r + 1] - ptr[r]).astype(np.int32))], ["bucket", "cid", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 200_000].view(np.int64)), pa.array(cid[r].view(np.int64)), pa.array(sizes[r].astype(np.int32))], ["bucket", "cid", "size"])
 
     return docs.select(text).mapInArrow(run, "bucket long, cid long, size int")
 
 
 def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(cid, tokens) of the wanted classes, from one document of each."""
-    one = materialize(members.join(wanted, "cid").groupBy("cid").agg(F.min("key").alias("key")))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            h, ptr = sets_of(column(part, "text"), n)
-            cid = class_ids(h, ptr)
-            want = column(part, "cid").to_numpy()
-            rows = np.flatnonzero(cid.view(np.int64) == want)  # a repeated id may bring other texts
-            tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(want[rows]), pa.array(tokens, pa.binary())], ["cid", "tokens"])
-
-    texts = sieve(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null"), one, "key")
-    # A repeated id may give a class twice, which at worst gives a link twice.
-    found = texts.join(one, "key").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
-
-    def run_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            h, ptr = sets_of(column(part, "text"), n)
-            tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_ids(h, ptr).view(np.int64)), pa.array(tokens, pa.binary())], ["cid", "tokens"])
-
-    # Classes that only rows with a null id hold are found by their sets.
-    bare = docs.where(F.col(key).isNull()).select(F.col(text).alias("text")).mapInArrow(run_all, "cid long, tokens binary")
-    bare = bare.join(one.where("key is null").select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    return materialize(found.unionByName(bare))
-
-
-def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose histograms allow the overlap that they need; most false candidates end here."""
+    """(cid, tokens) of the wanted classes; bit filters of a fixed size keep most other texts from being read for it."""
+    ends = members.join(wanted, "cid")
+    one = ends.groupBy("cid").agg(F.min("key").alias("key"))
+    keys, cids = (docs.sparkSession.sparkContext.broadcast(bitmap(one, c)) for c in ("key", "cid"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in "xy")
-            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            sizes = column(batch, "m").to_numpy() + column(batch, "n").to_numpy()
-            # Jaccard >= num / den means (num + den) * common >= num * (size + size).
-            keep = ((num + den) * bound >= num * sizes) | ((x == 255) & (y == 255)).any(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    cells = members.join(ends, "cid").select("cid", "size", "cells").dropDuplicates(["cid"])
-    cells = materialize(cells)
-    first = pairs.join(cells.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("cells").alias("x")), "a")
-    both = first.join(cells.select(F.col("cid").alias("b"), F.col("size").alias("n"), F.col("cells").alias("y")), "b")
-    return materialize(both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long"))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have den * common >= num * united."""
+            # A row without an id is always read: its class may have no other.
+            spot = column(batch, "spot")
+            keep = marked(keys.value, spot.fill_null(0).to_numpy(zero_copy_only=False)) | spot.is_null().to_numpy(zero_copy_only=False)
+            for part in slices([batch.filter(pa.array(keep))], "text"):
+                h, ptr = sets_of(column(part, "text"), n)
+                cid = class_ids(h, ptr).view(np.int64)
+                _, first = np.unique(cid, return_index=True)
+                tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in first]
+                yield pa.RecordBatch.from_arrays([pa.array(cid[first]), pa.array(tokens, pa.binary())], ["cid", "tokens"])
+
+    def few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(cids.value, column(batch, "spot").to_numpy()))).select(["cid", "tokens"])
+
+    texts = docs.select(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("long"))).alias("spot"), F.col(text).alias("text"))
+    found = texts.mapInArrow(run, "cid long, tokens binary").select("cid", "tokens", F.xxhash64("cid").alias("spot")).mapInArrow(few, "cid long, tokens binary")
+    return found.dropDuplicates(["cid"])
+
+
+def _block(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of one comparison: of each row of side 0 with each of side 1, and of those of side 2 with each other."""
+    cid, side, comp = (np.concatenate([column(b, c).to_numpy() for b in rows]) for c in ("cid", "side", "component"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for b in rows for v in column(b, "tokens")]
+    size = np.array([len(s) for s in sets])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    # The overlaps of all pairs are a matrix product over the tokens that occur twice or more, some columns at a time.
+    token, of = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    often = np.bincount(of, minlength=len(token)) > 1
+    name = np.cumsum(often) - 1
+    owner, of = owner[often[of]], name[of[often[of]]]
+    order = np.argsort(of, kind="stable")
+    owner, of = owner[order], of[order]
+    common = np.zeros((len(left), len(right)), np.float64)
+    wide = 4096
+    for at in range(0, int(of[-1]) + 1 if len(of) else 0, wide):
+        lo, hi = np.searchsorted(of, [at, at + wide])
+        held = np.zeros((len(sets), min(wide, int(of[-1]) + 1 - at)), np.float32)
+        held[owner[lo:hi], of[lo:hi] - at] = 1
+        common += held[left] @ held[right].T
+    both = size[left][:, None] + size[right][None, :]
+    i, j = np.nonzero((num + den) * common.astype(np.int64) >= num * both)
+    i, j = left[i], right[j]
+    ok = (i != j) & (comp[i] != comp[j])
+    # Only links that connect something new.
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+        x, y = root(int(comp[a])), root(int(comp[b]))
+        if x != y:
+            parent[x] = y
+            links.append((int(cid[a]), int(cid[b])))
+    return links
+
+
+def _compare(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes (job, cid, side, component) of the same job; see _block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "x"), column(batch, "y")):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(den * common >= num * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        held: list[pa.RecordBatch] = []
+        now, out = None, []
 
-    first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = first.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        def give() -> pa.RecordBatch:
+            a, b = (pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))
+            out.clear()
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+        for batch in batches:
+            job = column(batch, "job").to_numpy()
+            cuts = [0, *(np.flatnonzero(job[1:] != job[:-1]) + 1).tolist(), len(job)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi == lo:
+                    continue
+                if held and job[lo] != now:
+                    out += _block(held, num, den)
+                    held.clear()
+                now = job[lo]
+                held.append(batch.slice(lo, hi - lo))
+            if len(out) > 10_000:
+                yield give()
+        if held:
+            out += _block(held, num, den)
+        yield give()
+
+    full = jobs.join(sets, "cid").select("job", "cid", "side", "component", "tokens")
+    return full.repartition("job").sortWithinPartitions("job").mapInArrow(run, "a long, b long")
+
+
+def _salted(n: str) -> F.Column:
+    """Which of the tiles of a group of n a class belongs to."""
+    return F.pmod(F.xxhash64("cid", F.lit(3)), F.ceil(F.col(n) / TILE))
+
+
+def _stars(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Jobs that compare each class with the smallest set of one of its buckets."""
+    pivots = shared.groupBy("bucket").agg(F.min(F.struct("size", "cid")).alias("p"))
+    met = shared.join(pivots, "bucket").where((F.col("cid") != F.col("p.cid")) & (den * F.col("p.size") >= num * F.col("size")))
+    pairs = materialize(met.groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.cid").alias("pivot")))
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
+    rows = pairs.join(sizes, "pivot").select(F.xxhash64("pivot", _salted("n")).alias("job"), "cid", "pivot")
+    heads = rows.select("job", F.col("pivot").alias("cid"), F.lit(0).alias("side")).distinct()
+    return rows.select("job", "cid", F.lit(1).alias("side")).unionByName(heads).withColumn("component", F.col("cid"))
+
+
+def _tiles(shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Jobs that compare all classes of different components that share a bucket."""
+    placed = shared.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    placed = placed.select("bucket", "cid", "size", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "cid").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rows = materialize(placed.join(open_.select("bucket", "n"), "bucket"))
+    one = rows.groupBy("cid").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.first("size").alias("size"), F.first("linked").alias("linked"), F.first("component").alias("component"))
+    one = one.withColumn("family", F.when(F.col("linked"), F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(2), "home")))
+    sizes = one.groupBy("family").agg(F.count("*").alias("m"))
+    one = materialize(one.join(sizes, "family").select("cid", "size", "component", F.xxhash64("family", _salted("m")).alias("tile")))
+    spots = rows.select("bucket", "cid").join(one, "cid").groupBy("bucket", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+    spots = materialize(spots)
+    left, right = (spots.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high", "least", "most"))) for s in "ab")
+    apart = (F.least("low_a", "low_b") != F.greatest("high_a", "high_b")) & (den * F.col("most_a") >= num * F.col("least_b")) & (den * F.col("most_b") >= num * F.col("least_a"))
+    pairs = left.join(right, "bucket").where((F.col("tile_a") < F.col("tile_b")) & apart).select("tile_a", "tile_b")
+    own = spots.where("low <> high").select(F.col("tile").alias("tile_a"), F.col("tile").alias("tile_b"))
+    pairs = materialize(pairs.unionByName(own).distinct().withColumn("job", F.xxhash64("tile_a", "tile_b")))
+    sides = pairs.select("job", F.col("tile_a").alias("tile"), F.when(F.col("tile_a") == F.col("tile_b"), 2).otherwise(0).alias("side"))
+    sides = sides.unionByName(pairs.where("tile_a <> tile_b").select("job", F.col("tile_b").alias("tile"), F.lit(1).alias("side")))
+    return sides.join(one, "tile").select("job", "cid", "side", "component")
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,46 +370,20 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
     Links: Jaccard of the sets of n-word tokens of lower-cased words >= num / den.
     """
     members, classes, frequent = profile(docs, n, key, text)
-    bucket = Window.partitionBy("bucket")
-    index = _index(docs, n, text, classes, frequent, num, den).repartition("bucket").dropDuplicates(["bucket", "cid"])
-    shared = index.withColumn("pivot", F.min(F.struct("size", "cid")).over(bucket)).withColumn("many", F.count("*").over(bucket)).where("many > 1")
-    shared = materialize(shared.select("bucket", "cid", "size", F.col("pivot.cid").alias("pivot"), F.col("pivot.size").alias("pivot_size")))
-    near = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
-    links = tried = comps = None
-
-    def compare(pairs: DataFrame) -> None:
-        """Verifies pairs (a, b) that no round has seen and brings the components up to date."""
-        nonlocal links, tried, comps
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if comps is not None and pairs.isEmpty():
-            return
-        likely = _possible(pairs, members, num, den)
-        ends = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
-        found = materialize(_verify(likely, _token_sets(docs, members, ends, n, key, text), num, den))
-        links = found if links is None else links.unionByName(found)
-        comps = materialize(connected_components(links))
-
-    def apart() -> DataFrame:
-        """(bucket, cid, size, component, pivot, ...) of buckets whose classes are not all connected yet."""
-        placed = shared.select("bucket", "cid", "size").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        ends = F.min("component").over(bucket) != F.max("component").over(bucket)
-        least = F.min(F.struct("size", "cid", "component")).over(bucket)
-        rows = placed.withColumn("open", ends).withColumn("p", least).where("open")
-        return materialize(rows.select("bucket", "cid", "size", "component", F.col("p.cid").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.component").alias("pivot_component")))
-
-    # First each class against one pivot, then against those of buckets that are still
-    # apart, then what is apart after that pair by pair.
-    met = shared.where((F.col("cid") != F.col("pivot")) & near(F.col("size"), F.col("pivot_size")))
-    compare(met.groupBy(F.col("cid").alias("a")).agg(F.min(F.struct("pivot_size", "pivot"))["pivot"].alias("b")))
-    met = apart().where((F.col("component") != F.col("pivot_component")) & near(F.col("size"), F.col("pivot_size")))
-    compare(met.select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-    rest = apart()
-    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "component"))) for side in "ab")
-    rest = left.join(right, "bucket").where((F.col("cid_a") > F.col("cid_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("size_a"), F.col("size_b")))
-    compare(rest.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
-    full = members.drop("cells").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    index = materialize(_index(docs, n, text, classes, frequent, num, den))
+    wide = index.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("bucket")
+    shared = materialize(index.join(wide, "bucket").distinct())
+
+    def links_of(jobs: DataFrame) -> DataFrame:
+        jobs = materialize(jobs)
+        return materialize(_compare(jobs, _token_sets(docs, members, jobs.select("cid").distinct(), n, key, text), num, den))
+
+    links = links_of(_stars(shared, num, den))
+    comps = materialize(connected_components(links))
+    more = links_of(_tiles(shared, comps, num, den))
+    if not more.isEmpty():
+        comps = materialize(connected_components(links.unionByName(more)))
+    full = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = full.where("size > 0").groupBy("component").agg(F.min("key").alias("component_id"))
     return full.join(least, "component", "left").select(
         F.col("key").alias(key), "size", "cid", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")

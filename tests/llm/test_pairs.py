@@ -87,9 +87,28 @@ def test_join_of_near_rows_without_an_id(spark):
     assert [r.component_id for r in got] == [1, 1, 1]
 
 
-def test_sets_over_the_pair_limit(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRED", 40)
-    test_join(spark, monkeypatch, 3, 90, 100, 20)
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (9, 10)])
+def test_sets_of_all_sizes_share_a_bucket_with_their_partners(num, den):
+    """Whatever tokens count as frequent: every pair that links has an index entry in common."""
+    draw = np.random.default_rng(17)
+    for frequent in (0, 1, 30, 255):
+        sets = []
+        for size in (1, 1, 2, 3, 5, 9, 16, 30, 64, 150, 700):
+            base = draw.integers(0, 2**63, size, dtype=np.uint64)
+            for gone in (0, 1, size // 30, size // 11, size // 3):
+                sets.append(np.unique(np.concatenate([base[gone:], draw.integers(0, 2**63, gone // 2, dtype=np.uint64)])))
+        h, ptr = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        classes = draw.integers(0, 90, ngram_join.SKETCH).astype(np.uint8)
+        bucket, row = ngram_join.index_rows(h, ptr, classes, frequent, num, den)
+        of = [set(bucket[row == r].tolist()) for r in range(len(sets))]
+        met = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                common = len(np.intersect1d(a, b))
+                if len(a) and len(b) and den * common >= num * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                    met += 1
+                    assert of[i] & of[j], (frequent, len(a), len(b), common)
+        assert met > 10
 
 
 def test_components(spark):
