@@ -84,7 +84,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        for part in slices(batches, text):
+        for part in slices(batches, text, 1 << 20):
             h, ptr = sets_of(column(part, text), n)
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             m = part.num_rows
@@ -204,7 +204,7 @@ def _index(docs: DataFrame, n: int, text: str, classes: np.ndarray, frequent: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sent.value, np.zeros(0, np.uint64)
-        for part in slices(batches, text):
+        for part in slices(batches, text, 1 << 20):
             h, ptr = sets_of(column(part, text), n)
             cid = class_ids(h, ptr)
             # Of equal sets in a task one is indexed.
@@ -227,26 +227,24 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
     """(cid, tokens) of the wanted classes; bit filters of a fixed size keep most other texts from being read for it."""
     ends = members.join(wanted, "cid")
     one = ends.groupBy("cid").agg(F.min("key").alias("key"))
-    keys, cids = (docs.sparkSession.sparkContext.broadcast(bitmap(one, c)) for c in ("key", "cid"))
+    spot = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+    keys, cids = (docs.sparkSession.sparkContext.broadcast(bitmap(one.select(x))) for x in (spot, "cid"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A row without an id is always read: its class may have no other.
             spot = column(batch, "spot")
             keep = marked(keys.value, spot.fill_null(0).to_numpy(zero_copy_only=False)) | spot.is_null().to_numpy(zero_copy_only=False)
-            for part in slices([batch.filter(pa.array(keep))], "text"):
+            for part in slices([batch.filter(pa.array(keep))], "text", 1 << 20):
                 h, ptr = sets_of(column(part, "text"), n)
                 cid = class_ids(h, ptr).view(np.int64)
                 _, first = np.unique(cid, return_index=True)
+                first = first[marked(cids.value, cid[first])]
                 tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in first]
                 yield pa.RecordBatch.from_arrays([pa.array(cid[first]), pa.array(tokens, pa.binary())], ["cid", "tokens"])
 
-    def few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marked(cids.value, column(batch, "spot").to_numpy()))).select(["cid", "tokens"])
-
     texts = docs.select(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("long"))).alias("spot"), F.col(text).alias("text"))
-    found = texts.mapInArrow(run, "cid long, tokens binary").select("cid", "tokens", F.xxhash64("cid").alias("spot")).mapInArrow(few, "cid long, tokens binary")
+    found = texts.mapInArrow(run, "cid long, tokens binary")
     return found.dropDuplicates(["cid"])
 
 
