@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,28 @@ def _xxh64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda b: None if b is None else xxhash.xxh64(bytes(b)).hexdigest())
 
 
+def _jvm_xxh64(value: Column) -> Column | None:
+    """Catalyst's own xxHash with seed 0 (F.xxhash64 has 42), in generated code; None where this session has no JVM at hand."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jvm is None or not hasattr(value, "_jc"):
+        return None
+    try:
+        sql = context._jvm.org.apache.spark.sql
+        helper = sql.classic.ExpressionUtils
+        inside = context._jvm.PythonUtils.toSeq([helper.expression(value._jc)])
+        made = helper.column(sql.catalyst.expressions.XxHash64(inside, 0))
+    except (AttributeError, TypeError, Py4JError):
+        return None
+    return type(value)(made)
+
+
 def content_hash(value: Column) -> Column:
     """Of a string's UTF-8 bytes or of a binary; null for null."""
-    return _xxh64(value.cast("binary"))
+    data = value.cast("binary")
+    made = _jvm_xxh64(data)
+    if made is None:
+        return _xxh64(data)
+    return F.when(data.isNotNull(), F.lpad(F.lower(F.hex(made)), 16, "0"))
 
 
 def partial_hash(content: Column) -> Column:

@@ -45,9 +45,13 @@ def cosine_arrow(query: Sequence[float]):
             if not len(s):
                 yield pd.Series([], dtype="float64")
                 continue
-            x = np.stack(s.to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1) * length
-            yield pd.Series(np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0))
+            known = s.notna().to_numpy()
+            out = np.full(len(s), np.nan)
+            if known.any():
+                x = np.stack(s.to_numpy()[known]).astype(np.float64)
+                n = np.linalg.norm(x, axis=1) * length
+                out[known] = np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0)
+            yield pd.Series(out).astype("Float64").mask(~known)
 
     return score
 
@@ -77,9 +81,13 @@ def or_zero(v: Column, dimensions: int) -> Column:
 
 def embed_sha256(text: Column, dimensions: int = 64) -> Column:
     """Component i is byte i mod 32 of the text's SHA-256, over 255."""
-    digest = F.sha2(text.cast("binary"), 256)
-    byte = lambda i: F.conv(F.substring(digest, (F.pmod(i, F.lit(32)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: byte(i) / 255)
+    # The digest stands outside the inner lambda, so it is taken once a text and not once a component.
+    byte = lambda digest, i: F.conv(F.substring(digest, F.lit(2 * (i % 32) + 1), F.lit(2)), 16, 10).cast("double")
+    made = F.transform(F.array(F.sha2(text.cast("binary"), 256)), lambda digest: F.array(*[byte(digest, i) / 255 for i in range(min(dimensions, 32))]))[0]
+    if dimensions <= 32:
+        return made
+    whole = F.flatten(F.array_repeat(made, -(-dimensions // 32)))
+    return whole if dimensions % 32 == 0 else F.slice(whole, 1, dimensions)
 
 
 def embed_query(text: str, dimensions: int = 64) -> list[float]:

@@ -42,8 +42,9 @@ def get_context(files: DataFrame, start: int | None = None, end: int | None = No
 def snippets(results: DataFrame, files: DataFrame, context: int = CONTEXT_LINES) -> DataFrame:
     """Adds snippet and its line range to results (filePath, startLine, endLine ...); without the file they are null."""
     context = max(0, min(context, MAX_CONTEXT))
-    lines = files.select(F.col("filePath").alias("f_path"), text.lines(F.col("content")).alias("f_lines"))
-    joined = results.join(lines, F.col("filePath") == F.col("f_path"), "left")
+    # Results are a top-k: only their files are split into lines.
+    contents = files.select(F.col("filePath").alias("f_path"), F.col("content").alias("f_content"))
+    joined = results.join(contents, F.col("filePath") == F.col("f_path"), "left").withColumn("f_lines", text.lines(F.col("f_content"))).drop("f_content")
     n = F.size("f_lines")
     s, e = F.greatest(F.lit(1), F.col("startLine") - context), F.least(n, F.col("endLine") + context)
     known = F.col("f_lines").isNotNull()

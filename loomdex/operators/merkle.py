@@ -59,8 +59,7 @@ def update(nodes: DataFrame, changed: DataFrame, removed: DataFrame | None = Non
     """The tree after files (path, hash) changed and removed paths (path, with all below) went; only folders above them are hashed again."""
     files = nodes.where("not isDirectory")
     if removed is not None:
-        gone = removed.select(F.col("path").alias("g"))
-        files = files.join(gone, (F.col("path") == F.col("g")) | F.col("path").startswith(F.concat("g", F.lit("/"))), "left_anti")
+        files = delete_subtrees(files, removed)
     new = changed.select("path", "hash").withColumn("parentPath", text.dirname(F.col("path"))).withColumn("isDirectory", F.lit(False))
     files = merge_latest(files.select("path", "hash", "parentPath", "isDirectory"), new, ["path"])
     touched = changed.select("path") if removed is None else changed.select("path").unionByName(removed.select("path"))
@@ -87,8 +86,10 @@ def subtree(nodes: DataFrame, path: str) -> DataFrame:
 
 
 def delete_subtrees(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    gone = paths.select(F.col("path").alias("g"))
-    return nodes.join(gone, (F.col("path") == F.col("g")) | F.col("path").startswith(F.concat("g", F.lit("/"))), "left_anti")
+    """The nodes that are none of the paths (path) and below none; an equality join of each node's own path and ancestors."""
+    lead = nodes.select("path", F.explode(F.array_append(text.ancestors(F.col("path")), F.col("path"))).alias("g"))
+    gone = lead.join(paths.select(F.regexp_replace("path", "/+$", "").alias("g")).distinct(), "g", "left_semi").select("path").distinct()
+    return nodes.join(gone, "path", "left_anti")
 
 
 def rename_node(nodes: DataFrame, old: str, new: str, digest: str) -> DataFrame:

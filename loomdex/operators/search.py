@@ -37,16 +37,18 @@ def knn(rows: DataFrame, query: Sequence[float], k: int, vector: str = "vector",
     return rows.withColumn("score", score).orderBy(F.desc("score"), *ties).limit(k)
 
 
-def semantic_search(chunks: DataFrame, query: str, top_k: int = TOP_K, patterns: Iterable[str] | None = None, language: str | None = None, oversample: bool = False, embed=vectors.embed_query) -> DataFrame:
+def semantic_search(chunks: DataFrame, query: str, top_k: int = TOP_K, patterns: Iterable[str] | None = None, language: str | None = None, oversample: bool = False, embed=vectors.embed_query, dimensions: int | None = None) -> DataFrame:
     """Chunks by similarity to a query, with score and source.
 
     Path patterns are applied before the top-k, so k results come back if there are so
-    many. With ``oversample`` they are applied to the best ``OVERSAMPLE * k`` instead.
+    many. With ``oversample`` they are applied to the best ``OVERSAMPLE * k`` instead. A
+    query vector of another length than ``dimensions`` is an error.
     """
     given = list(patterns or [])
     match = globs.glob_filter(F.col("filePath"), given)
     rows = chunks.where(chunk_filter(language))
     q = embed(query)
+    vectors.check_query(q, dimensions)
     if given and oversample:
         found = knn(rows, q, top_k * OVERSAMPLE).where(match).orderBy(F.desc("score"), "filePath", "id").limit(top_k)
     else:

@@ -13,16 +13,27 @@ from loomdex.functions import globs, text
 MAX_FILE_BYTES = 1 << 20
 
 
-def scan(spark: SparkSession, root: str, ignore: Iterable[str] = ()) -> DataFrame:
-    """(filePath, size, modified, content binary) of every file under root that no ignore pattern hides."""
+def scan(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_bytes: int | None = None) -> DataFrame:
+    """(filePath, size, modified, content binary) of every file under root that no ignore pattern hides.
+
+    With max_bytes larger files are left out; ``oversized`` lists them.
+    """
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # The size filter is on the reader's own column, so it is pushed down and contents beyond it are not read.
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
     path = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
     start = F.length(F.lit(base))
     named = raw.select(F.substring(path, F.instr(path, base) + start, F.length(path)).alias("filePath"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     return named.where(~globs.ignored(F.col("filePath"), globs.ignore_list(ignore)))
 
 
+def oversized(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(filePath, size) of files above max_bytes; their contents are not read."""
+    return scan(spark, root, ignore).where(F.col("size") > max_bytes).select("filePath", "size")
+
+
 def scan_events(files: DataFrame) -> DataFrame:
     """One ``added`` event for each file, with the content's hash."""
     from loomdex.functions.hashing import content_hash
