@@ -29,4 +29,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomdex_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialize that nothing will read again, through Hadoop's file systems."""
+    spark, path = df.sparkSession, df._loomdex_path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm._graph import connected_components
 from loomdex.llm._sieve import bitmap, marked
-from loomdex.llm._store import materialize
+from loomdex.llm._store import discard, materialize
 from loomdex.llm._words import column, mix, slices, windows, words
 
 #: Counters of the frequency sketch; their classes (a byte each) are what workers get.
@@ -223,8 +223,11 @@ def _index(docs: DataFrame, n: int, text: str, classes: np.ndarray, frequent: in
     return docs.select(text).mapInArrow(run, "bucket long, cid long, size int")
 
 
-def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(cid, tokens) of the wanted classes; bit filters of a fixed size keep most other texts from being read for it."""
+def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int, key: str, text: str, short: bool = False) -> DataFrame:
+    """(cid, tokens) of the wanted classes; bit filters of a fixed size keep most other texts from being read for it.
+
+    tokens: 64 bits each, or with ``short`` 16 bits, of which several tokens may have the same.
+    """
     ends = members.join(wanted, "cid")
     one = ends.groupBy("cid").agg(F.min("key").alias("key"))
     spot = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
@@ -240,6 +243,7 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
                 cid = class_ids(h, ptr).view(np.int64)
                 _, first = np.unique(cid, return_index=True)
                 first = first[marked(cids.value, cid[first])]
+                h = (h >> np.uint64(48)).astype(np.uint16) if short else h
                 tokens = [h[ptr[r] : ptr[r + 1]].tobytes() for r in first]
                 yield pa.RecordBatch.from_arrays([pa.array(cid[first]), pa.array(tokens, pa.binary())], ["cid", "tokens"])
 
@@ -248,10 +252,14 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
     return found.dropDuplicates(["cid"])
 
 
-def _block(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of one comparison: of each row of side 0 with each of side 1, and of those of side 2 with each other."""
+def _near(rows: list[pa.RecordBatch], kind: type, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cid, component, i, j): the pairs of rows of a comparison whose overlap reaches the threshold and that lie in different components.
+
+    Each row of side 0 meets each of side 1, and those of side 2 meet each other. Of short
+    tokens the overlap is that of the multisets or more, so at least that of the tokens.
+    """
     cid, side, comp = (np.concatenate([column(b, c).to_numpy() for b in rows]) for c in ("cid", "side", "component"))
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for b in rows for v in column(b, "tokens")]
+    sets = [np.frombuffer(v.as_buffer(), kind) for b in rows for v in column(b, "tokens")]
     size = np.array([len(s) for s in sets])
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     # The overlaps of all pairs are a matrix product over the tokens that occur twice or more, some columns at a time.
@@ -263,17 +271,21 @@ def _block(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, in
     order = np.argsort(of, kind="stable")
     owner, of = owner[order], of[order]
     common = np.zeros((len(left), len(right)), np.float64)
-    wide = 4096
-    for at in range(0, int(of[-1]) + 1 if len(of) else 0, wide):
+    wide, last = 4096, int(of[-1]) + 1 if len(of) else 0
+    for at in range(0, last, wide):
         lo, hi = np.searchsorted(of, [at, at + wide])
-        held = np.zeros((len(sets), min(wide, int(of[-1]) + 1 - at)), np.float32)
-        held[owner[lo:hi], of[lo:hi] - at] = 1
+        held = np.zeros((len(sets), min(wide, last - at)), np.float32)
+        np.add.at(held, (owner[lo:hi], of[lo:hi] - at), 1)
         common += held[left] @ held[right].T
     both = size[left][:, None] + size[right][None, :]
     i, j = np.nonzero((num + den) * common.astype(np.int64) >= num * both)
     i, j = left[i], right[j]
     ok = (i != j) & (comp[i] != comp[j])
-    # Only links that connect something new.
+    return cid, comp, i[ok], j[ok]
+
+
+def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """The links that connect what those before them do not: at most one less than there are components."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -282,26 +294,26 @@ def _block(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, in
             x = up
         return x
 
-    links = []
-    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-        x, y = root(int(comp[a])), root(int(comp[b]))
+    kept = []
+    for at, (a, b) in enumerate(zip(comp[i].tolist(), comp[j].tolist())):
+        x, y = root(a), root(b)
         if x != y:
             parent[x] = y
-            links.append((int(cid[a]), int(cid[b])))
-    return links
+            kept.append(at)
+    return kept
 
 
-def _compare(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between classes (job, cid, side, component) of the same job; see _block."""
+def _by_job(jobs: DataFrame, sets: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(rows of one job) for every job (job, cid, side, component, tokens), a job at a time; rows of two longs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now, out = None, []
+        now, out = None, [np.zeros((0, 2), np.int64)]
 
         def give() -> pa.RecordBatch:
-            a, b = (pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))
-            out.clear()
-            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            all_ = np.concatenate(out)
+            out[:] = out[:0]
+            return pa.RecordBatch.from_arrays([pa.array(all_[:, 0].copy()), pa.array(all_[:, 1].copy())], names)
 
         for batch in batches:
             job = column(batch, "job").to_numpy()
@@ -310,18 +322,42 @@ def _compare(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 if hi == lo:
                     continue
                 if held and job[lo] != now:
-                    out += _block(held, num, den)
+                    out.append(answer(now, held))
                     held.clear()
                 now = job[lo]
                 held.append(batch.slice(lo, hi - lo))
-            if len(out) > 10_000:
+            if sum(map(len, out)) > 10_000:
                 yield give()
         if held:
-            out += _block(held, num, den)
-        yield give()
+            out.append(answer(now, held))
+        if out:
+            yield give()
 
+    names = [x.split()[0] for x in schema.split(", ")]
     full = jobs.join(sets, "cid").select("job", "cid", "side", "component", "tokens")
-    return full.repartition("job").sortWithinPartitions("job").mapInArrow(run, "a long, b long")
+    return full.repartition("job").sortWithinPartitions("job").mapInArrow(run, schema)
+
+
+def _compare(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes of the same job that span what the job connects."""
+
+    def answer(job: int, rows: list[pa.RecordBatch]) -> np.ndarray:
+        cid, comp, i, j = _near(rows, np.uint64, num, den)
+        kept = _spanning(comp, i, j)
+        return np.stack([cid[i[kept]], cid[j[kept]]], axis=1)
+
+    return _by_job(jobs, sets, answer, "a long, b long")
+
+
+def _likely(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of jobs that may have a link there, by short tokens."""
+
+    def answer(job: int, rows: list[pa.RecordBatch]) -> np.ndarray:
+        cid, _, i, j = _near(rows, np.uint16, num, den)
+        found = np.unique(cid[np.concatenate([i, j])])
+        return np.stack([np.full(len(found), job), found], axis=1)
+
+    return jobs.join(_by_job(jobs, sets, answer, "job long, cid long"), ["job", "cid"])
 
 
 def _salted(n: str) -> F.Column:
@@ -371,14 +407,17 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
     index = materialize(_index(docs, n, text, classes, frequent, num, den))
     wide = index.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("bucket")
     shared = materialize(index.join(wide, "bucket").distinct())
+    discard(index)
 
-    def links_of(jobs: DataFrame) -> DataFrame:
-        jobs = materialize(jobs)
-        return materialize(_compare(jobs, _token_sets(docs, members, jobs.select("cid").distinct(), n, key, text), num, den))
+    def sets(jobs: DataFrame, short: bool = False) -> DataFrame:
+        return _token_sets(docs, members, jobs.select("cid").distinct(), n, key, text, short)
 
-    links = links_of(_stars(shared, num, den))
+    jobs = materialize(_stars(shared, num, den))
+    links = materialize(_compare(jobs, sets(jobs), num, den))
     comps = materialize(connected_components(links))
-    more = links_of(_tiles(shared, comps, num, den))
+    jobs = materialize(_tiles(shared, comps, num, den))
+    jobs = materialize(_likely(jobs, sets(jobs, True), num, den))
+    more = materialize(_compare(jobs, sets(jobs), num, den))
     if not more.isEmpty():
         comps = materialize(connected_components(links.unionByName(more)))
     full = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
