@@ -214,6 +214,12 @@ def test_long_lines_go_by_edit_similarity(spark):
     assert removed_lines(spark, [" ".join(w), " ".join(swapped), " ".join(typo)]) == {2}
 
 
+def test_a_line_that_repeats_a_word(spark):
+    draw = random.Random(17)
+    w = ["again"] * 3000 + sentence(draw, 60).split()
+    assert removed_lines(spark, [" ".join(w), " ".join([*w[:-1], "other"]), "* * *", "* * *", "- -"]) == {1, 3}
+
+
 def test_lines_of_the_same_words_in_other_orders(spark):
     draw = random.Random(14)
     w = sentence(draw, 24).split()
