@@ -65,8 +65,56 @@ def ignore_regex(patterns: Iterable[str]) -> str | None:
 
 
 def ignored(path: Column, patterns: Iterable[str]) -> Column:
-    regex = ignore_regex(patterns)
-    return F.lit(False) if regex is None else path.rlike(regex)
+    """Whether a path is hidden: some pattern hides it and no negated one (``!pattern``) names it."""
+    given = [p.strip() for p in patterns]
+    hide = ignore_regex(p for p in given if not p.startswith("!"))
+    show = ignore_regex(p[1:] for p in given if p.startswith("!"))
+    if hide is None:
+        return F.lit(False)
+    return path.rlike(hide) if show is None else path.rlike(hide) & ~path.rlike(show)
+
+
+def line_glob_to_regex(glob: str) -> str:
+    """The dialect of line-search programs: without a slash a pattern fits at any depth, ``{a,b}`` and ``[..]`` work, ``**/`` is any folders."""
+    body, at, depth = "", 0, 0
+    anchored = "/" in glob.rstrip("/")
+    glob = glob.lstrip("/")
+    while at < len(glob):
+        c = glob[at]
+        if glob.startswith("**/", at):
+            body, at = body + "(?:.*/)?", at + 3
+            continue
+        if glob.startswith("**", at):
+            body, at = body + ".*", at + 2
+            continue
+        if c == "[" and (end := glob.find("]", at + 2)) > 0:
+            inner = glob[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            body, at = body + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+            continue
+        if c == "{":
+            body, depth = body + "(?:", depth + 1
+        elif c == "}" and depth:
+            body, depth = body + ")", depth - 1
+        elif c == "," and depth:
+            body += "|"
+        else:
+            body += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        at += 1
+    if depth:
+        raise ValueError(f"unclosed brace: {glob}")
+    tail = "" if not body.endswith("/") else ".*"
+    return ("^" if anchored else "^(?:.*/)?") + body + tail + "$"
+
+
+def line_glob_filter(path: Column, globs: Iterable[str] | None, hidden: bool = False) -> Column:
+    """Whether a line search looks into a path: the last pattern that fits decides (``!`` excludes), and with a plain
+    pattern given, paths that none fits are left out; files under a dot name only with ``hidden``."""
+    given = [g.strip() for g in globs or [] if g.strip()]
+    out = F.lit(not any(not g.startswith("!") for g in given))
+    for g in given:
+        fits = path.rlike(line_glob_to_regex(check_glob(g.removeprefix("!"))))
+        out = F.when(fits, F.lit(not g.startswith("!"))).otherwise(out)
+    return out if hidden else out & ~path.rlike(r"(^|/)\.[^/]")
 
 
 #: Folders and files that are not indexed unless the caller says otherwise.
@@ -101,6 +149,7 @@ def sanitize(root: str, path: str) -> str:
     return os.path.relpath(real, base).replace(os.sep, "/")
 
 
+#: Fixed value: the classes of characters that a filter value may have.
 _PRINTABLE = r"\A[\p{L}\p{N}\p{P}\p{Zs}\p{S}\p{M}]*\z"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomdex.functions.text import ancestors
 from loomdex.operators.store import under
 
 CAPACITY, TTL_HOURS, MAX_ATTEMPTS = 1000, 24, 5
@@ -32,6 +33,13 @@ def remove(entries: DataFrame, prefix: str) -> DataFrame:
     return entries.where(~under(F.col("filePath"), prefix))
 
 
+def remove_all(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the entries of any of many deleted files or folders (path)."""
+    lead = entries.select("filePath", F.explode(F.array_append(ancestors(F.col("filePath")), F.col("filePath"))).alias("path"))
+    hit = lead.join(gone.select("path").distinct(), "path", "left_semi").select("filePath").distinct()
+    return entries.join(hit, "filePath", "left_anti")
+
+
 def latest_errors(entries: DataFrame) -> DataFrame:
     return entries.groupBy("filePath").agg(F.max_by("errorMessage", F.struct("createdAt", "id")).alias("errorMessage"), F.max("createdAt").alias("createdAt"))
 

@@ -73,3 +73,69 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("name").agg(
         F.concat_ws("\n", F.concat(F.lit("# HELP "), F.col("name"), F.lit(" "), told), F.concat(F.lit("# TYPE "), F.col("name"), F.lit(" "), F.first("type")), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text")
     )
+
+
+SNAPSHOT = "node string, ts timestamp, metrics array<struct<name:string,type:string,labels:map<string,string>,value:double>>"
+
+
+def scrape(snapshots: DataFrame, text: str = "value") -> DataFrame:
+    """(node, ts, name, type, labels, value) of metric snapshots in JSON; answers of another shape, and failed ones (null), go."""
+    parsed = snapshots.select(F.from_json(text, SNAPSHOT).alias("s")).where("s.node is not null and s.metrics is not null")
+    rows = parsed.select("s.node", "s.ts", F.explode("s.metrics").alias("m")).select("node", "ts", "m.name", "m.type", "m.labels", "m.value")
+    return rows.where("name is not null and value is not null")
+
+
+def nodes(registrations: DataFrame) -> DataFrame:
+    """The newest registration of each port: (port, node, seenAt)."""
+    return registrations.groupBy("port").agg(F.max_by("node", F.struct("seenAt", "node")).alias("node"), F.max("seenAt").alias("seenAt"))
+
+
+def evict(registered: DataFrame, now: Column, seconds: int = 15) -> DataFrame:
+    """Adds alive: whether a node's last sign of life is at most so many seconds old."""
+    return registered.withColumn("alive", F.col("seenAt") >= now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+class Registry:
+    """Counters, gauges and histograms of a driver, as rows for exposition."""
+
+    def __init__(self) -> None:
+        self._kinds: dict[str, tuple[str, str, tuple[float, ...]]] = {}
+        self._values: dict[tuple[str, tuple], float] = {}
+        self._observed: dict[tuple[str, tuple], list[float]] = {}
+
+    def register(self, name: str, kind: str, help: str = "", bounds: Sequence[float] = ()) -> None:
+        if kind not in ("counter", "gauge", "histogram"):
+            raise ValueError(f"no such kind of metric: {kind}")
+        if self._kinds.setdefault(name, (kind, help, tuple(bounds)))[0] != kind:
+            raise ValueError(f"{name} is a {self._kinds[name][0]}")
+
+    def add(self, name: str, value: float = 1.0, **labels: str) -> None:
+        """Adds to a counter, which never falls, sets a gauge, or observes a histogram's value."""
+        kind, _, bounds = self._kinds[name]
+        key = (name, tuple(sorted(labels.items())))
+        if kind == "counter":
+            if value < 0:
+                raise ValueError("a counter cannot fall")
+            self._values[key] = self._values.get(key, 0.0) + value
+        elif kind == "gauge":
+            self._values[key] = value
+        else:
+            held = self._observed.setdefault(key, [0.0] * (len(bounds) + 2))
+            for i, b in enumerate(bounds):
+                held[i] += value <= b
+            held[-2] += 1
+            held[-1] += value
+
+    def rows(self) -> list[tuple[str, str, str, dict, str, float]]:
+        """(name, help, type, labels, metricName, value), histograms as cumulative buckets, sum and count."""
+        out = []
+        for (name, labels), value in self._values.items():
+            kind, told, _ = self._kinds[name]
+            out.append((name, told, kind, dict(labels), name, value))
+        for (name, labels), held in self._observed.items():
+            _, told, bounds = self._kinds[name]
+            for b, n in zip((*map(str, bounds), "+Inf"), held):
+                out.append((name, told, "histogram", dict(labels) | {"le": b}, f"{name}_bucket", n))
+            out.append((name, told, "histogram", dict(labels), f"{name}_sum", held[-1]))
+            out.append((name, told, "histogram", dict(labels), f"{name}_count", held[-2]))
+        return out

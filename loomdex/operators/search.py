@@ -109,9 +109,10 @@ def fuse(legs: DataFrame, top_k: int = TOP_K, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (chunk, source, leg, pos): one row per chunk id with summed 1 / (k + pos + 1).
 
     An id with two contributions or more is ``hybrid``, also when one leg gave both; the
-    first payload stays; ties go by path, then by first appearance.
+    first payload stays; ties go by path in the order of a locale (``a`` before ``B``),
+    then by first appearance.
     """
-    order = F.struct("leg", "pos")
+    order, by_path = F.struct("leg", "pos"), F.collate(F.col("chunk.filePath"), "UNICODE")
     by_id = legs.groupBy(F.col("chunk.id").alias("id")).agg(
         F.round(F.sum(1 / (F.lit(float(k)) + F.col("pos") + 1)), 12).alias("score"),
         F.count("*").alias("hits"),
@@ -119,16 +120,31 @@ def fuse(legs: DataFrame, top_k: int = TOP_K, k: int = RRF_K) -> DataFrame:
         F.min_by("source", order).alias("first_source"),
         F.min(order).alias("seen"),
     )
-    best = by_id.orderBy(F.desc("score"), F.col("chunk.filePath"), "seen").limit(top_k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), F.col("chunk.filePath"), "seen")))
+    best = by_id.orderBy(F.desc("score"), by_path, "seen").limit(top_k)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), by_path, "seen")))
     return ranked.select("rank", "chunk", "score", F.when(F.col("hits") > 1, F.lit("hybrid")).otherwise(F.col("first_source")).alias("source"))
 
 
+#: What the legs of a hybrid search are.
+SEMANTIC_LEG = "id string, filePath string, content string, language string, symbolName string, symbolKind string, startLine int, endLine int, score double, source string"
+GREP_LEG = "filePath string, lineNumber int, lineText string"
+
+
+def fuse_legs(near: DataFrame, lines: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """Chunks found by similarity and lines found by pattern, aligned and fused."""
+    semantic = positioned(near, F.desc("score"), "filePath", "id")
+    aligned = lines_to_chunks(positioned(lines, "filePath", "lineNumber"), semantic)
+    left = semantic.select(F.struct(*CHUNK).alias("chunk"), "source", F.lit(0).alias("leg"), "pos")
+    return fuse(left.unionByName(aligned.select("chunk", "source", F.lit(1).alias("leg"), "pos")), top_k)
+
+
 def hybrid_search(chunks: DataFrame, lines: DataFrame, query: str, grep_pattern: str | None = None, top_k: int = TOP_K, patterns: Iterable[str] | None = None, language: str | None = None, fixed: bool = True, embed=vectors.embed_query) -> DataFrame:
     """Semantic and line search, aligned and fused. language filters the semantic leg only."""
-    semantic = positioned(semantic_search(chunks, query, top_k, patterns, language, embed=embed), F.desc("score"), "filePath", "id")
-    found = positioned(grep(lines, grep_pattern or query, patterns, max_results=top_k, fixed=fixed), "filePath", "lineNumber")
-    aligned = lines_to_chunks(found, semantic)
-    left = semantic.select(F.struct(*CHUNK).alias("chunk"), "source", F.lit(0).alias("leg"), "pos")
-    right = aligned.select("chunk", "source", F.lit(1).alias("leg"), "pos")
-    return fuse(left.unionByName(right), top_k)
+    near = semantic_search(chunks, query, top_k, patterns, language, embed=embed)
+    return fuse_legs(near, grep(lines, grep_pattern or query, patterns, max_results=top_k, fixed=fixed), top_k)
+
+
+def rest_rows(chunks: DataFrame, query: str, embed=vectors.embed_query, top_k: int = TOP_K) -> DataFrame:
+    """(rank, file, content) of the nearest chunks, as the search over given files answers."""
+    found = positioned(semantic_search(chunks, query, top_k, embed=embed), F.desc("score"), "filePath", "id")
+    return found.select((F.col("pos") + 1).alias("rank"), F.col("filePath").alias("file"), "content")

@@ -1,16 +1,16 @@
-"""The chunk store: Parquet snapshots in path buckets, replaced file by file, with counters.
+"""The chunk store: Parquet rows in path buckets, replaced file by file, with counters.
 
-A snapshot is a folder of its own and a small JSON pointer names the current one, so a
-reader never sees a half-written table and no plan overwrites what it reads. Pure
-transformations come first; ``ChunkStore`` applies them.
+Pure transformations come first; ``ChunkStore`` applies them. No plan overwrites what it
+reads.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from loomdex import schemas
 from loomdex.functions import vectors
+from loomdex.functions.text import ancestors
 
 BUCKETS, MIN_STALE, THRESHOLD = 64, 1, 0.2
 
@@ -118,84 +119,246 @@ class Counters:
     staleCount: int = 0
     totalFiles: int = 0
     lastCompactedAt: str | None = None
-    snapshot: str | None = None
+    lastIndexedAt: str | None = None
+    lastFullScanAt: str | None = None
+    lastError: str | None = None
+    version: int = 0
+    #: Folders of each bucket's rows, below the store's root.
+    buckets: dict[str, list[str]] = field(default_factory=dict)
+    cache: str | None = None
+
+
+class Folder:
+    """A folder of any file system that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path())
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, below: str = "") -> list[str]:
+        at = self._path(below)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """Writes a file that must not exist yet; another writer's file of that name is an error."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        stream = self._fs.create(self._path(part), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._fs.exists(self._path(name)) or not self._fs.rename(self._path(part), self._path(name)):
+            self._fs.delete(self._path(part), False)
+            raise RuntimeError(f"another writer was faster: {name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.hash(path), F.lit(BUCKETS))
 
 
 class ChunkStore:
-    """A chunk table at a folder of the local file system or a mounted one; one writer at a time."""
+    """A chunk table in path buckets at a folder; one writer at a time.
+
+    A numbered file of the ``log`` folder names each version's folders of rows, bucket by
+    bucket. A commit writes the buckets that it changes and then the next number, which
+    fails if another writer took it; readers take the last number and never see half a
+    change. Folders that none of the last ``KEEP`` versions names are removed.
+    """
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, root: str, dimensions: int) -> None:
         if dimensions <= 0:
             raise ValueError("dimensions must be positive")
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-        self._pointer = os.path.join(root, "current.json")
-        if os.path.exists(self._pointer):
-            with open(self._pointer, encoding="utf-8") as f:
-                self.counters = Counters(**json.load(f))
-            if self.counters.dimensions != dimensions:
-                raise ValueError(f"store holds vectors of {self.counters.dimensions} dimensions, not {dimensions}")
-        else:
-            self.counters = Counters(dimensions)
-
-    def rows(self) -> DataFrame:
-        if self.counters.snapshot is None:
+        self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
+        self.counters = Counters(dimensions)
+        self.refresh()
+        if self.counters.dimensions != dimensions:
+            raise ValueError(f"store holds vectors of {self.counters.dimensions} dimensions, not {dimensions}")
+
+    def _versions(self) -> list[str]:
+        return [n for n in self.folder.names("log") if n.endswith(".json")]
+
+    def refresh(self) -> None:
+        """Takes over the newest version, also another writer's."""
+        if versions := self._versions():
+            self.counters = Counters(**json.loads(self.folder.read(f"log/{versions[-1]}")))
+
+    def rows(self, paths: Iterable[str] | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """All rows, those of some files, or those of some buckets; other buckets are not read."""
+        held = self.counters.buckets
+        if paths is not None:
+            paths = list(paths)
+            asked = self.spark.createDataFrame([(p,) for p in paths], "p string")
+            buckets = [r.b for r in asked.select(bucket_of(F.col("p")).alias("b")).distinct().collect()]
+        folders = [f for b, fs in sorted(held.items()) if buckets is None or int(b) in set(buckets) for f in fs]
+        if not folders:
             return self.spark.createDataFrame([], schemas.CHUNKS)
-        return self.spark.read.schema(schemas.CHUNKS).parquet(os.path.join(self.root, self.counters.snapshot))
+        found = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
+        found = found.withColumn("path_bucket", bucket_of(F.col("filePath")))
+        return found if paths is None else found.where(F.col("filePath").isin(paths))
 
-    def _commit(self, rows: DataFrame, **counts) -> None:
+    def _write(self, rows: DataFrame) -> dict[str, list[str]]:
+        """Writes rows by bucket; the folder of each bucket that has any."""
         name = f"v-{uuid.uuid4().hex}"
-        bucketed = rows.withColumn("path_bucket", F.pmod(F.hash("filePath"), F.lit(BUCKETS)))
-        bucketed.repartition("path_bucket").write.partitionBy("path_bucket").parquet(os.path.join(self.root, name))
-        self.counters = Counters(**(asdict(self.counters) | counts | {"snapshot": name}))
-        part = f"{self._pointer}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(asdict(self.counters), f)
-        os.replace(part, self._pointer)
+        bucketed = rows.withColumn("path_bucket", bucket_of(F.col("filePath")))
+        # Rebalance keeps a bucket together but splits one that is too large for a task.
+        bucketed.hint("rebalance", "path_bucket").write.partitionBy("path_bucket").parquet(f"{self.root}/{name}")
+        return {n.split("=")[1]: [f"{name}/{n}"] for n in self.folder.names(name) if n.startswith("path_bucket=")}
+
+    def _commit(self, buckets: dict[str, list[str]] | None = None, **counts) -> None:
+        held = asdict(self.counters) | counts
+        held["version"] += 1
+        if buckets is not None:
+            held["buckets"] = {b: f for b, f in buckets.items() if f}
+        self.folder.create(f"log/{held['version']:012d}.json", json.dumps(held))
+        self.counters = Counters(**held)
+        self._expire()
+
+    def _expire(self) -> None:
+        versions = self._versions()
+        for old in versions[: -self.KEEP]:
+            self.folder.delete(f"log/{old}")
+        used = set()
+        for v in versions[-self.KEEP :]:
+            at = json.loads(self.folder.read(f"log/{v}"))
+            used |= {f.split("/")[0] for fs in at["buckets"].values() for f in fs} | {at["cache"]}
+        for name in self.folder.names():
+            if name.startswith(("v-", "cache-")) and name not in used:
+                self.folder.delete(name)
+
+    def _replace(self, touched: set[int], made: DataFrame, added: dict[str, list[str]] | None = None, **counts) -> None:
+        """A version in which the touched buckets hold the given rows, and what ``added`` names."""
+        kept = {b: f for b, f in self.counters.buckets.items() if int(b) not in touched}
+        for part in (self._write(made), added or {}):
+            for b, f in part.items():
+                kept[b] = kept.get(b, []) + f
+        self._commit(kept, **counts)
 
     def upsert(self, new: DataFrame, affected: DataFrame | None = None) -> dict:
-        old = self.rows()
-        paths = new.select("filePath") if affected is None else new.select("filePath").unionByName(affected.select("filePath"))
-        paths = paths.distinct()
-        deleted = old.join(paths, "filePath", "left_semi").count()
-        added = new_files(new, old).count()
-        gone = old.join(paths, "filePath", "left_semi").select("filePath").distinct().join(new.select("filePath"), "filePath", "left_anti").count()
+        return self.apply(new, affected)
+
+    def apply(self, new: DataFrame | None = None, affected: DataFrame | None = None, gone: DataFrame | None = None, renames: DataFrame | None = None) -> dict:
+        """One version for a batch: renames (oldPath, newPath), then files and folders that are gone (path), then the files
+        of ``affected`` and ``new`` give way to the rows of ``new``. New rows are made once, and only buckets that change
+        are read and written."""
+        nothing = self.spark.createDataFrame([], "filePath string")
+        fresh: dict[str, list[str]] = {}
+        if new is not None:
+            ready = new.withColumn("vector", vectors.or_zero(F.col("vector"), self.counters.dimensions)).withColumn("symbolName", F.coalesce("symbolName", F.lit("")))
+            fresh = self._write(ready.withColumn("path_bucket", F.lit(0)).select(*self.spark.createDataFrame([], schemas.CHUNKS).columns))
+        folders = [f"{self.root}/{f}" for fs in fresh.values() for f in fs]
+        written = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*folders) if folders else self.spark.createDataFrame([], schemas.CHUNKS)
+        paths = written.select("filePath").unionByName(nothing if affected is None else affected.select("filePath")).distinct()
+        moved = renames.select("oldPath", "newPath") if renames is not None else self.spark.createDataFrame([], "oldPath string, newPath string")
+        dropped = gone.select("path").distinct() if gone is not None else None
+        below = nothing
+        if dropped is not None:
+            lead = self.rows().select("filePath").distinct().select("filePath", F.explode(F.array_append(ancestors(F.col("filePath")), F.col("filePath"))).alias("path"))
+            below = lead.join(dropped, "path", "left_semi").select("filePath").distinct()
+        changed = paths.unionByName(below).unionByName(moved.select(F.explode(F.array("oldPath", "newPath")).alias("filePath")))
+        touched = {r.b for r in changed.select(bucket_of(F.col("filePath")).alias("b")).distinct().collect()}
+        old = self.rows(buckets=touched)
+        after = rename(old, moved) if renames is not None else old
+        if dropped is not None:
+            after = after.join(below, "filePath", "left_anti")
+        kept = after.join(paths, "filePath", "left_anti")
+        size = lambda rows, name: rows.groupBy("filePath").agg(F.count("*").alias(name))
+        tally = size(old, "was").join(size(kept, "stays"), "filePath", "full_outer").join(size(written, "came"), "filePath", "full_outer").fillna(0, ["was", "stays", "came"])
+        tally = tally.join(changed.distinct().withColumn("hit", F.lit(1)), "filePath", "left")
+        row = tally.agg(
+            F.coalesce(F.sum(F.col("was") * F.coalesce("hit", F.lit(0))), F.lit(0)).alias("stale"),
+            F.count_if((F.col("was") == 0) & (F.col("stays") + F.col("came") > 0)).alias("added"),
+            F.count_if((F.col("was") > 0) & (F.col("stays") + F.col("came") == 0)).alias("gone"),
+        ).first()
+        self._replace(touched, kept, fresh, staleCount=self.counters.staleCount + row.stale, totalFiles=self.counters.totalFiles + row.added - row.gone)
+        return {"deleted": row.stale, "newFiles": row.added}
+
+    def rebuild(self, new: DataFrame, **counts) -> dict:
+        """A version of new rows alone; until it is written readers have the old one."""
         ready = new.withColumn("vector", vectors.or_zero(F.col("vector"), self.counters.dimensions)).withColumn("symbolName", F.coalesce("symbolName", F.lit("")))
-        self._commit(upsert(old, ready.withColumn("path_bucket", F.lit(0)), affected), staleCount=self.counters.staleCount + deleted, totalFiles=self.counters.totalFiles + added - gone)
-        return {"deleted": deleted, "newFiles": added}
-
-    def _delete(self, hit: Column) -> int:
-        old = self.rows()
-        row = old.where(hit).agg(F.count("*").alias("n"), F.countDistinct("filePath").alias("files")).first()
-        if row.n:
-            self._commit(old.where(~hit), staleCount=self.counters.staleCount + row.n, totalFiles=max(0, self.counters.totalFiles - row.files))
-        return row.n
+        made = self._write(ready.withColumn("path_bucket", F.lit(0)).select(*self.spark.createDataFrame([], schemas.CHUNKS).columns))
+        folders = [f"{self.root}/{f}" for fs in made.values() for f in fs]
+        files = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*folders).select("filePath").distinct().count() if folders else 0
+        self._commit(made, totalFiles=files, staleCount=0, **counts)
+        return {"deleted": 0, "newFiles": files}
+
+    def _delete(self, hit: Column, old: DataFrame) -> int:
+        per = old.where(hit).groupBy("path_bucket").agg(F.count("*").alias("n"), F.count_distinct("filePath").alias("files")).collect()  # a row for each bucket
+        n, touched = sum(r.n for r in per), {r.path_bucket for r in per}
+        if n:
+            self._replace(touched, self.rows(buckets=touched).where(~hit), staleCount=self.counters.staleCount + n, totalFiles=max(0, self.counters.totalFiles - sum(r.files for r in per)))
+        return n
 
     def delete_path(self, path: str) -> int:
-        return self._delete(F.col("filePath") == path)
+        return self._delete(F.col("filePath") == path, self.rows([path]))
 
     def delete_prefix(self, prefix: str) -> int:
-        return self._delete(under(F.col("filePath"), prefix))
+        return self._delete(under(F.col("filePath"), prefix), self.rows())
 
     def rename(self, old: str, new: str) -> int:
-        rows = self.rows()
-        n = rows.where(F.col("filePath") == old).count()
+        n = self.rows([old]).count()
         if n:
-            moves = self.spark.createDataFrame([(old, new)], "oldPath string, newPath string")
-            self._commit(rename(rows, moves), staleCount=self.counters.staleCount + n)
+            self.apply(renames=self.spark.createDataFrame([(old, new)], "oldPath string, newPath string"))
         return n
 
     def stats(self) -> dict:
         row = self.rows().agg(F.count("*").alias("n"), F.countDistinct("filePath").alias("files")).first()
-        stale = self.counters.staleCount
-        return {"totalChunks": row.n, "totalFiles": row.files, "staleCount": stale, "fragmentationRatio": stale / (row.n + stale) if row.n + stale else 0.0, "dimensions": self.counters.dimensions, "lastCompactedAt": self.counters.lastCompactedAt}
+        c, stale = self.counters, self.counters.staleCount
+        return {
+            "totalChunks": row.n, "totalFiles": row.files, "staleCount": stale, "fragmentationRatio": stale / (row.n + stale) if row.n + stale else 0.0, "dimensions": c.dimensions,
+            "lastCompactedAt": c.lastCompactedAt, "lastIndexedAt": c.lastIndexedAt, "lastFullScanAt": c.lastFullScanAt, "lastError": c.lastError,
+        }
+
+    def complete(self, dead_letters: DataFrame | None, now: str, full: bool = False) -> str:
+        """Records a finished run only while no dead letter is open; otherwise its error, with the old times kept."""
+        open_ = 0 if dead_letters is None else dead_letters.count()
+        if open_:
+            self._commit(lastError=f"{open_} files failed to index")
+            return "incomplete"
+        self._commit(lastIndexedAt=now, lastError=None, **({"lastFullScanAt": now} if full else {}))
+        return "complete"
+
+    def note(self, error: str | None) -> None:
+        if self.counters.lastError != error:
+            self._commit(lastError=error)
 
     def compact(self, now: str, threshold: float = THRESHOLD, min_stale: int = MIN_STALE, force: bool = False) -> dict:
+        """Writes each bucket's folders as one if enough rows are stale."""
         before = self.stats()
         if not force and not should_compact(before["totalChunks"], before["staleCount"], threshold, min_stale):
             return {"compacted": False, "before": before["fragmentationRatio"], "after": before["fragmentationRatio"], "removed": 0}
-        self._commit(self.rows(), staleCount=0, lastCompactedAt=now)
+        split = {int(b) for b, f in self.counters.buckets.items() if len(f) > 1}
+        self._replace(split, self.rows(buckets=split), staleCount=0, lastCompactedAt=now)
         return {"compacted": True, "before": before["fragmentationRatio"], "after": 0.0, "removed": before["staleCount"]}
 
+    def compact_when_idle(self, now: str, last_change: datetime, at: datetime, idle_seconds: int = 300, **how) -> dict | None:
+        """Compaction if nothing has changed for so long; None if something has."""
+        return self.compact(now, **how) if (at - last_change).total_seconds() >= idle_seconds else None
+
     def reset(self) -> None:
-        self._commit(self.spark.createDataFrame([], schemas.CHUNKS), staleCount=0, totalFiles=0)
+        self._commit({}, staleCount=0, totalFiles=0)
+
+    # The embedding cache is a table beside the rows and belongs to the same versions.
+
+    def cache(self) -> DataFrame:
+        if self.counters.cache is None:
+            return self.spark.createDataFrame([], schemas.EMBEDDING_CACHE)
+        return self.spark.read.schema(schemas.EMBEDDING_CACHE).parquet(f"{self.root}/{self.counters.cache}")
+
+    def save_cache(self, cache: DataFrame) -> None:
+        name = f"cache-{uuid.uuid4().hex}"
+        cache.write.parquet(f"{self.root}/{name}")
+        self._commit(cache=name)

@@ -10,9 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.functions import globs, vectors
+from loomdex.functions import globs, limits, vectors
 from loomdex.functions.hashing import content_hash
-from loomdex.operators import chunking, context, dead_letters, merkle, search
+from loomdex.operators import chunking, context, dead_letters, events, merkle, search
 from loomdex.operators.store import ChunkStore, cache_lookup, cache_misses, cache_put
 from loomdex.sources import files as file_source
 
@@ -29,12 +29,16 @@ class Settings:
     max_file_bytes: int = file_source.MAX_FILE_BYTES
     ignore: tuple[str, ...] = ()
     compact_threshold: float = 0.2
+    max_queue: int = events.MAX_QUEUE
+    full_scan_at: int = events.FULL_SCAN_AT
+    window_files: int = 16
+    query_cache: int = 256
 
     @classmethod
     def load(cls, given: dict | None = None, environment: dict | None = None) -> Settings:
         """Environment over file over default; a value of the wrong kind falls through."""
         out = cls()
-        for name, kind in (("dimensions", int), ("window", int), ("overlap", int), ("max_chars", int), ("max_file_bytes", int), ("compact_threshold", float)):
+        for name, kind in (("dimensions", int), ("window", int), ("overlap", int), ("max_chars", int), ("max_file_bytes", int), ("compact_threshold", float), ("max_queue", int), ("full_scan_at", int), ("window_files", int), ("query_cache", int)):
             for value in ((environment or {}).get(f"LOOMDEX_{name.upper()}"), (given or {}).get(name)):
                 try:
                     if value is not None and kind(value) >= 0:
@@ -52,6 +56,8 @@ class Response:
     query: str
     results: DataFrame
     tookMs: float = 0.0
+    #: The legs that failed and why; their part of the results is empty.
+    failed: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -65,12 +71,25 @@ class Engine:
     embedder: Embedder = (vectors.embed_sha256, vectors.embed_query)
     cache: DataFrame | None = None
     dead_letters: DataFrame | None = None
+    tree: DataFrame | None = None
+    #: Whether the embedder works; a failing check counts as no.
+    health: Callable[[], bool] = lambda: True
+    #: Called with (event, values) after searches and index runs.
+    hook: Callable[[str, dict], None] = lambda event, values: None
     _running: threading.Lock = field(default_factory=threading.Lock)
     last_error: str | None = None
+    skipped: DataFrame | None = None
+    queries: limits.LruCache | None = None
+
+    def __post_init__(self) -> None:
+        self.queries = limits.LruCache(self.settings.query_cache)
+
+    def _query_vector(self, text: str) -> list[float]:
+        return self.queries.get(text, lambda: self.embedder[1](text))
 
     def semantic_search(self, query: str, top_k: int = search.TOP_K, file_pattern: str | None = None, file_patterns: Iterable[str] | None = None, language: str | None = None) -> DataFrame:
         patterns = [file_pattern] if file_pattern else file_patterns
-        return search.semantic_search(self.store.rows(), query, vectors.check_top_k(top_k), patterns, language, embed=self.embedder[1])
+        return search.semantic_search(self.store.rows(), query, vectors.check_top_k(top_k), patterns, language, embed=self._query_vector, dimensions=self.settings.dimensions)
 
     def grep_search(self, pattern: str, file_pattern: str | None = None, file_patterns: Iterable[str] | None = None, case_sensitive: bool = False, max_results: int = search.MAX_RESULTS, fixed: bool = False) -> DataFrame:
         patterns = [file_pattern] if file_pattern else file_patterns
@@ -78,13 +97,33 @@ class Engine:
         return search.submatches(found.select("filePath", "lineNumber", "lineText"), pattern, case_sensitive, fixed)
 
     def hybrid_search(self, query: str, top_k: int = search.TOP_K, grep_pattern: str | None = None, file_pattern: str | None = None, file_patterns: Iterable[str] | None = None, language: str | None = None, include_snippet: bool = False, context_lines: int = context.CONTEXT_LINES, fixed: bool = False) -> Response:
-        began = time.monotonic()
+        """Both legs run as jobs of their own, a top-k each; one that fails counts as empty and is named in ``failed``."""
+        began, failed = time.monotonic(), {}
         patterns = [file_pattern] if file_pattern else file_patterns
-        found = search.hybrid_search(self.store.rows(), chunking.explode_lines(self.files), query, grep_pattern, top_k, patterns, language, fixed, self.embedder[1])
+
+        def leg(name: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
+            try:
+                return self.spark.createDataFrame(make().toArrow())  # at most top_k rows
+            except Exception as failure:
+                failed[name] = str(failure)
+                return self.spark.createDataFrame([], schema)
+
+        near = leg("semantic", lambda: search.semantic_search(self.store.rows(), query, vectors.check_top_k(top_k), patterns, language, embed=self._query_vector, dimensions=self.settings.dimensions).select(*search.CHUNK, "score", "source"), search.SEMANTIC_LEG)
+        lines = leg("grep", lambda: search.grep(chunking.explode_lines(self.files), grep_pattern or query, patterns, max_results=top_k, fixed=fixed).select("filePath", "lineNumber", "lineText"), search.GREP_LEG)
+        found = search.fuse_legs(near, lines, top_k)
         if include_snippet:
             flat = found.select("*", "chunk.filePath", "chunk.startLine", "chunk.endLine")
             found = context.snippets(flat, self.files, context_lines).drop("filePath", "startLine", "endLine")
-        return Response(query, found, (time.monotonic() - began) * 1000)
+        found = self.spark.createDataFrame(found.toArrow())  # at most top_k rows
+        took = (time.monotonic() - began) * 1000
+        self.hook("search", {"tookMs": took, "failed": failed})
+        return Response(query, found, took, failed)
+
+    def rest_search(self, query: str, files: Iterable[str]) -> DataFrame:
+        """(file, content): the chunks of the given files that are nearest to the query, 20 at most; unknown files are ignored."""
+        wanted = self.spark.createDataFrame([(globs.check_glob(f),) for f in files], "filePath string").distinct()
+        chunks = self.embed(self.chunk(self.files.join(F.broadcast(wanted), "filePath", "left_semi")), keep=False)
+        return search.rest_rows(chunks, query, self._query_vector)
 
     def get_context(self, path: str, start: int | None = None, end: int | None = None, mode: str = "eager") -> DataFrame:
         clean = globs.check_glob(path)
@@ -94,55 +133,105 @@ class Engine:
 
     def index_status(self) -> dict:
         open_ = 0 if self.dead_letters is None else self.dead_letters.count()
-        return self.store.stats() | {"deadLetters": open_, "running": self._running.locked(), "lastError": self.last_error}
+        try:
+            healthy = bool(self.health())
+        except Exception:
+            healthy = False
+        stats = self.store.stats()
+        skipped = 0 if self.skipped is None else self.skipped.count()
+        return stats | {"deadLetters": open_, "running": self._running.locked(), "lastError": self.last_error or stats["lastError"], "healthy": healthy, "skippedFiles": skipped}
 
     def chunk(self, files: DataFrame) -> DataFrame:
-        made = chunking.chunk_files(files, self.settings.window, self.settings.overlap, self.settings.max_chars)
+        made = chunking.chunk_files(self.small(files), self.settings.window, self.settings.overlap, self.settings.max_chars)
         return made.withColumn("hash", content_hash(F.col("content")))
 
-    def embed(self, chunks: DataFrame) -> DataFrame:
-        """Vectors from the cache where it has them; each other text is embedded once and kept."""
+    def small(self, files: DataFrame) -> DataFrame:
+        """The files within the size limit; larger ones have no chunks and are listed in ``skipped``."""
+        return files.where(F.coalesce(F.octet_length("content") <= self.settings.max_file_bytes, F.lit(True)))
+
+    def embed(self, chunks: DataFrame, keep: bool = True) -> DataFrame:
+        """Vectors from the cache where it has them; each other text is embedded once and, with keep, stored."""
         if self.cache is None:
             return chunks.withColumn("vector", self.embedder[0](F.col("content")).cast("array<float>"))
-        looked = cache_lookup(chunks, self.cache)
-        made = cache_misses(looked).select("hash", self.embedder[0](F.col("content")).cast("array<float>").alias("vector"))
-        self.cache = cache_put(self.cache, made.select("hash", "vector", F.size("vector").alias("dimensions"), F.current_timestamp().alias("createdAt")))
+        missed = cache_misses(cache_lookup(chunks, self.cache))
+        made = missed.select("hash", self.embedder[0](F.col("content")).cast("array<float>").alias("vector"))
+        rows = made.select("hash", "vector", F.size("vector").alias("dimensions"), F.current_timestamp().alias("createdAt"))
+        if not keep:
+            return cache_lookup(chunks, cache_put(self.cache, rows))
+        self.store.save_cache(cache_put(self.cache, rows))
+        self.cache = self.store.cache()
         return cache_lookup(chunks, self.cache)
 
     def reindex(self, full: bool = False, now: str = "1970-01-01T00:00:00.000Z") -> dict:
-        """Chunks, embeds and stores all files (a full rebuild empties the store first); one run at a time."""
+        """Chunks, embeds and stores all files; one run at a time.
+
+        A full rebuild is written beside the old rows, which readers keep until it is done.
+        Times are recorded only if no dead letter is open.
+        """
         if not self._running.acquire(blocking=False):
             return {"status": "already_running"}
         try:
             self.last_error = None
-            if full:
-                self.store.reset()
-            before = self.store.rows().select(F.col("filePath").alias("path")).distinct()
+            self.skipped = self.files.where(F.octet_length("content") > self.settings.max_file_bytes).select("filePath", F.octet_length("content").alias("size"))
             chunks = self.embed(self.chunk(self.files))
-            gone = before.join(self.files.select(F.col("filePath").alias("path")), "path", "left_anti").select(F.col("path").alias("filePath"))
-            result = self.store.upsert(chunks, self.files.select("filePath").unionByName(gone))
-            self.store.compact(now, self.settings.compact_threshold, force=True)
-            stats = self.files.agg(F.count("*").alias("totalFiles"))
-            if self.dead_letters is not None:
-                done = dead_letters.completion(self.dead_letters, stats).first()
-                self.last_error = done.lastError
-                return result | {"status": done.status}
-            return result | {"status": "complete"}
+            if full:
+                result = self.store.rebuild(chunks)
+            else:
+                held = self.store.rows().select("filePath").distinct()
+                gone = held.join(self.files.select("filePath"), "filePath", "left_anti")
+                result = self.store.apply(chunks, self.files.select("filePath").unionByName(gone))
+                self.store.compact(now, self.settings.compact_threshold)
+            self.tree = merkle.build(self.files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash")))
+            status = self.store.complete(self.dead_letters, now, full)
+            self.last_error = self.store.counters.lastError
+            self.hook("index", result | {"status": status})
+            return result | {"status": status}
         except Exception as failure:
             self.last_error = str(failure)
+            self.store.note(self.last_error)
             raise
         finally:
             self._running.release()
 
+    def recover(self, now: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
+        """The full scan after an overflow, tried again with growing pauses."""
+        return limits.with_retries(lambda: self.reindex(now=now), attempts, 1.0, sleep=sleep)
+
+    def start(self, batch: DataFrame, scan_end: Column, now: str) -> dict:
+        """First index run, then the changes that came meanwhile; if they were too many, one more run instead."""
+        result = self.reindex(now=now)
+        held = events.hold_back(batch, scan_end, self.settings.max_queue)
+        row = held.agg(F.max("missed").alias("missed"), F.count_if("released").alias("n")).first()
+        if row.missed:
+            return self.recover(now) | {"followed": "full scan"}
+        if row.n:
+            self.apply_events(held.where("released").select(*batch.columns))
+        return result | {"followed": "changes"}
+
     def apply_events(self, batch: DataFrame) -> dict:
-        """A coalesced batch of changes: renames keep their vectors, deletions clear paths, the rest is chunked again."""
+        """A coalesced batch of changes as one version of the store: renames keep their vectors, deletions clear a path
+        and all below it in the rows, the tree and the dead letters, the rest is chunked again."""
         renames, rest = merkle.apply_renames(batch, self.store.rows())
-        moved = renames.select("oldPath", "newPath").collect()  # one micro-batch's renames
-        for r in moved:
-            self.store.rename(r.oldPath, r.newPath)
-        for r in rest.where("type = 'deleted'").select("filePath").distinct().collect():
-            self.store.delete_prefix(r.filePath)
+        gone = rest.where("type = 'deleted'").select(F.col("filePath").alias("path")).distinct()
         changed = rest.where("type <> 'deleted'").select("filePath").distinct()
         files = self.files.join(changed, "filePath", "left_semi")
-        self.store.upsert(self.embed(self.chunk(files)), changed)
-        return {"renamed": len(moved)}
+        result = self.store.apply(self.embed(self.chunk(files)), changed, gone, renames)
+        if self.tree is not None:
+            hashed = files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash"))
+            moved = renames.select(F.col("newPath").alias("path"), F.col("contentHash").alias("hash"))
+            left = gone.unionByName(renames.select(F.col("oldPath").alias("path")))
+            self.tree = merkle.update(self.tree, hashed.unionByName(moved), left)
+        if self.dead_letters is not None:
+            self.dead_letters = dead_letters.remove_all(self.dead_letters, gone)
+        return {"renamed": renames.count()} | result
+
+    def drain(self, batch: DataFrame) -> tuple[DataFrame | None, Exception | None]:
+        """Applies a queue's events in windows of files; see operators.events.drain."""
+
+        def run(part: DataFrame) -> None:
+            if part.where("type = 'reindex'").isEmpty():
+                self.apply_events(part)
+            else:
+                self.reindex()
+
+        return events.drain(batch, run, self.settings.window_files)
