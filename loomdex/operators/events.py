@@ -109,7 +109,7 @@ def machine(events: DataFrame, max_queue: int = MAX_QUEUE, full_scan_at: int = F
             out.append((e.queue, int(e.seq), e.type, accepted, state))
         return pd.DataFrame(out, columns=["queue", "seq", "type", "accepted", "state"])
 
-    return events.select("queue", "seq", "type", "filePath").groupBy("queue").applyInPandas(run, "queue string, seq long, type string, accepted boolean, state string")
+    return events.select(F.col("queue").cast("string").alias("queue"), "seq", "type", "filePath").groupBy("queue").applyInPandas(run, "queue string, seq long, type string, accepted boolean, state string")
 
 
 def hold_back(events: DataFrame, scan_end: Column, most: int = MAX_QUEUE) -> DataFrame:

@@ -24,7 +24,7 @@ def oracle(sf_dir):
 def rows(frame):
     frame = frame[sorted(frame.columns)]
     clean = lambda v: None if v is None or v != v else round(v, 9) if isinstance(v, float) else str(v)
-    return sorted(tuple(map(clean, r)) for r in frame.itertuples(index=False, name=None))
+    return sorted((tuple(map(clean, r)) for r in frame.itertuples(index=False, name=None)), key=repr)
 
 
 @pytest.mark.parametrize("name", NAMES)
