@@ -46,6 +46,8 @@ SKETCH, CHUNKS = 1 << 20, 64
 VERY = 40
 #: Classes of a tile, about.
 TILE = 256
+#: Cells of a set's histogram, a byte each: cell-wise minima bound two sets' overlap from above.
+CELLS = 256
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -74,13 +76,20 @@ def class_ids(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix(mix(per_row(mix(h)) + counts) + per_row(mix(h + _SALT)))
 
 
+def histograms(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Each set's tokens by cell; 255 stands for 255 or more."""
+    rows = len(ptr) - 1
+    cell = np.repeat(np.arange(rows), np.diff(ptr)) * CELLS + (mix(h) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=rows * CELLS), 255).astype(np.uint8).reshape(rows, CELLS)
+
+
 def steps(count: np.ndarray) -> np.ndarray:
     """Frequency classes, eight for each doubling: fine enough to tell a repeated token from a sketch cell's other tokens."""
     return np.minimum(np.floor(8 * np.log2(count + 1)), 255).astype(np.uint8)
 
 
 def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(key, size, cid) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
+    """(key, size, cid, cells) of every document; the sketch's frequency classes; the class from which tokens are frequent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -89,7 +98,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
             counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["key", "size", "cid", "chunk", "counts"]
+                [column(part, key).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), pa.array(class_ids(h, ptr).view(np.int64)), pa.nulls(m, pa.int32()), pa.array([c.tobytes() for c in histograms(h, ptr)], pa.binary())], ["key", "size", "cid", "chunk", "counts"]
             )
         if counts.any():
             # A counter of one task stops at 65,535; sums only order tokens, so any such rule keeps results exact.
@@ -111,7 +120,7 @@ def profile(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, np
         classes[row.chunk] = np.frombuffer(row.classes, np.uint8)
         tokens += row.n
     frequent = int(steps(np.array([max(256, 4 * tokens / SKETCH)]))[0])
-    return both.where("chunk is null").select("key", "size", "cid"), classes.reshape(-1), frequent
+    return both.where("chunk is null").select("key", "size", "cid", F.col("counts").alias("cells")), classes.reshape(-1), frequent
 
 
 def _renamed(run, key: str, text: str):
@@ -255,13 +264,37 @@ def _token_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int,
 def _near(rows: list[pa.RecordBatch], kind: type, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cid, component, i, j): the pairs of rows of a comparison whose overlap reaches the threshold and that lie in different components.
 
-    Each row of side 0 meets each of side 1, and those of side 2 meet each other. Of short
-    tokens the overlap is that of the multisets or more, so at least that of the tokens.
+    Each row of side 0 meets each of side 1, and those of side 2 meet each other. kind
+    says what tokens are: whole ones, short ones (their overlap is that of the multisets
+    or more, so at least that of the tokens), or a histogram's cells, a bound likewise.
     """
-    cid, side, comp = (np.concatenate([column(b, c).to_numpy() for b in rows]) for c in ("cid", "side", "component"))
+    cid, side, comp, size = (np.concatenate([column(b, c).to_numpy() for b in rows]) for c in ("cid", "side", "component", "size"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    common = _cell_bounds(rows, left, right) if kind is np.uint8 else _overlaps(rows, kind, left, right)
+    both = size[left][:, None] + size[right][None, :]
+    i, j = np.nonzero((num + den) * common >= num * both)
+    i, j = left[i], right[j]
+    ok = (i != j) & (comp[i] != comp[j])
+    return cid, comp, i[ok], j[ok]
+
+
+def _cell_bounds(rows: list[pa.RecordBatch], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """No less than the overlap of each pair: the sum of cell-wise minima, without a bound where both are full."""
+    cells = np.frombuffer(b"".join(v for b in rows for v in column(b, "tokens").to_pylist()), np.uint8).reshape(-1, CELLS)
+    out, other = np.zeros((len(left), len(right)), np.int64), cells[right]
+    full = other == 255
+    for at, i in enumerate(left):
+        out[at] = np.minimum(cells[i], other).sum(axis=1, dtype=np.int64)
+        mine = cells[i] == 255
+        if mine.any():
+            out[at][(full & mine).any(axis=1)] = 1 << 40
+    return out
+
+
+def _overlaps(rows: list[pa.RecordBatch], kind: type, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each pair's common tokens."""
     sets = [np.frombuffer(v.as_buffer(), kind) for b in rows for v in column(b, "tokens")]
     size = np.array([len(s) for s in sets])
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     # The overlaps of all pairs are a matrix product over the tokens that occur twice or more, some columns at a time.
     token, of = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -277,11 +310,7 @@ def _near(rows: list[pa.RecordBatch], kind: type, num: int, den: int) -> tuple[n
         held = np.zeros((len(sets), min(wide, last - at)), np.float32)
         np.add.at(held, (owner[lo:hi], of[lo:hi] - at), 1)
         common += held[left] @ held[right].T
-    both = size[left][:, None] + size[right][None, :]
-    i, j = np.nonzero((num + den) * common.astype(np.int64) >= num * both)
-    i, j = left[i], right[j]
-    ok = (i != j) & (comp[i] != comp[j])
-    return cid, comp, i[ok], j[ok]
+    return common.astype(np.int64)
 
 
 def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
@@ -334,7 +363,7 @@ def _by_job(jobs: DataFrame, sets: DataFrame, answer, schema: str) -> DataFrame:
             yield give()
 
     names = [x.split()[0] for x in schema.split(", ")]
-    full = jobs.join(sets, "cid").select("job", "cid", "side", "component", "tokens")
+    full = jobs.join(sets, "cid").select("job", "cid", "side", "component", "size", "tokens")
     return full.repartition("job").sortWithinPartitions("job").mapInArrow(run, schema)
 
 
@@ -349,11 +378,11 @@ def _compare(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _by_job(jobs, sets, answer, "a long, b long")
 
 
-def _likely(jobs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of jobs that may have a link there, by short tokens."""
+def _likely(jobs: DataFrame, sets: DataFrame, kind: type, num: int, den: int) -> DataFrame:
+    """The rows of jobs that may have a link there, by histograms or short tokens."""
 
     def answer(job: int, rows: list[pa.RecordBatch]) -> np.ndarray:
-        cid, _, i, j = _near(rows, np.uint16, num, den)
+        cid, _, i, j = _near(rows, kind, num, den)
         found = np.unique(cid[np.concatenate([i, j])])
         return np.stack([np.full(len(found), job), found], axis=1)
 
@@ -369,11 +398,11 @@ def _stars(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Jobs that compare each class with the smallest set of one of its buckets."""
     pivots = shared.groupBy("bucket").agg(F.min(F.struct("size", "cid")).alias("p"))
     met = shared.join(pivots, "bucket").where((F.col("cid") != F.col("p.cid")) & (den * F.col("p.size") >= num * F.col("size")))
-    pairs = materialize(met.groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.cid").alias("pivot")))
+    pairs = materialize(met.groupBy("cid").agg(F.min("p").alias("p"), F.first("size").alias("size")).select("cid", "size", F.col("p.cid").alias("pivot"), F.col("p.size").alias("pivot_size")))
     sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
-    rows = pairs.join(sizes, "pivot").select(F.xxhash64("pivot", _salted("n")).alias("job"), "cid", "pivot")
-    heads = rows.select("job", F.col("pivot").alias("cid"), F.lit(0).alias("side")).distinct()
-    return rows.select("job", "cid", F.lit(1).alias("side")).unionByName(heads).withColumn("component", F.col("cid"))
+    rows = pairs.join(sizes, "pivot").select(F.xxhash64("pivot", _salted("n")).alias("job"), "cid", "size", "pivot", "pivot_size")
+    heads = rows.select("job", F.col("pivot").alias("cid"), F.col("pivot_size").alias("size"), F.lit(0).alias("side")).distinct()
+    return rows.select("job", "cid", "size", F.lit(1).alias("side")).unionByName(heads).withColumn("component", F.col("cid"))
 
 
 def _tiles(shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
@@ -383,7 +412,9 @@ def _tiles(shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
     rows = materialize(placed.join(open_.select("bucket", "n"), "bucket"))
     one = rows.groupBy("cid").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.first("size").alias("size"), F.first("linked").alias("linked"), F.first("component").alias("component"))
-    one = one.withColumn("family", F.when(F.col("linked"), F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(2), "home")))
+    # A component that fills tiles has its own; small ones go with their neighbours, or each would be a tile.
+    large = one.where("linked").groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= TILE)
+    one = one.join(large, "component", "left").withColumn("family", F.when(F.col("c").isNotNull(), F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(2), "home")))
     sizes = one.groupBy("family").agg(F.count("*").alias("m"))
     one = materialize(one.join(sizes, "family").select("cid", "size", "component", F.xxhash64("family", _salted("m")).alias("tile")))
     spots = rows.select("bucket", "cid").join(one, "cid").groupBy("bucket", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
@@ -395,7 +426,7 @@ def _tiles(shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame
     pairs = materialize(pairs.unionByName(own).distinct().withColumn("job", F.xxhash64("tile_a", "tile_b")))
     sides = pairs.select("job", F.col("tile_a").alias("tile"), F.when(F.col("tile_a") == F.col("tile_b"), 2).otherwise(0).alias("side"))
     sides = sides.unionByName(pairs.where("tile_a <> tile_b").select("job", F.col("tile_b").alias("tile"), F.lit(1).alias("side")))
-    return sides.join(one, "tile").select("job", "cid", "side", "component")
+    return sides.join(one, "tile").select("job", "cid", "side", "component", "size")
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -412,15 +443,18 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
     def sets(jobs: DataFrame, short: bool = False) -> DataFrame:
         return _token_sets(docs, members, jobs.select("cid").distinct(), n, key, text, short)
 
+    cells = members.select("cid", F.col("cells").alias("tokens")).dropDuplicates(["cid"])
     jobs = materialize(_stars(shared, num, den))
+    jobs = materialize(_likely(jobs, cells, np.uint8, num, den))
     links = materialize(_compare(jobs, sets(jobs), num, den))
     comps = materialize(connected_components(links))
     jobs = materialize(_tiles(shared, comps, num, den))
-    jobs = materialize(_likely(jobs, sets(jobs, True), num, den))
+    jobs = materialize(_likely(jobs, cells, np.uint8, num, den))
+    jobs = materialize(_likely(jobs, sets(jobs, True), np.uint16, num, den))
     more = materialize(_compare(jobs, sets(jobs), num, den))
     if not more.isEmpty():
         comps = materialize(connected_components(links.unionByName(more)))
-    full = members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    full = members.drop("cells").join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = full.where("size > 0").groupBy("component").agg(F.min("key").alias("component_id"))
     return full.join(least, "component", "left").select(
         F.col("key").alias(key), "size", "cid", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")
