@@ -196,6 +196,29 @@ def test_language_model_sample_is_whole_texts_by_hash(spark):
     rows = [(i, f"a{i} b{i} c{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     model, _ = lm.fit(docs)
-    order = docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("draw")).orderBy("draw").limit(36).collect()
-    want = lm._tokenize(model, pa.array([r.text for r in order]))[0]
-    assert lm._training_ids(docs, model, "doc_id", "text", 142).tolist() == want.tolist()
+
+    def block(parts):
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("draw")
+        rows = docs.repartition(parts).select(F.lit(0).cast("long").alias("block"), draw, F.xxhash64("text").alias("th"), "text")
+        (row,) = lm._blocks(rows.coalesce(1), model, None, 142).collect()
+        return row
+
+    one, other = block(5), block(3)
+    assert one.tokens == 144 and one.net == other.net  # 36 whole texts of 4 tokens, whatever the partitions
+
+
+def test_language_model_learns_from_blocks(spark):
+    """Blocks go on from the start: a word order that the start's few texts do not show is learned from the share."""
+    draw = np.random.default_rng(9)
+    names = [f"w{i}" for i in range(60)]
+
+    def text(n):
+        at, out = int(draw.integers(60)), []
+        for _ in range(n):
+            out.append(names[at])
+            at = (7 * at + 3) % 60 if draw.random() < 0.9 else int(draw.integers(60))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text(200)) for i in range(400)], "doc_id long, text string")
+    total = lambda share: (lambda m: lm.score(docs.where("doc_id < 50"), *m).agg(F.sum("score")).first()[0])(lm.fit(docs.where("doc_id >= 50"), fit_tokens=6000, share=share))
+    assert total(1) > total(10**9) + 500

@@ -262,6 +262,32 @@ def test_passages(spark):
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
 
 
+def shingle_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_passages(spark):
+    """Of the copies of passages that brute force puts at Jaccard 0.8 or more, nearly all are found, and most of their words go."""
+    draw = random.Random(18)
+    rows, want, words = [], set(), {}
+    for i in range(60):
+        passage = sentence(draw, 90).split()
+        copy = list(passage)
+        for at in draw.sample(range(90), 1 + i % 2):
+            copy[at] = sentence(draw, 1)
+        for j, w in enumerate((passage, copy)):
+            before, after = (sentence(draw, draw.randint(20, 60)) for _ in "ab")
+            rows.append((2 * i + j, f"{before} {' '.join(w)} {after}"))
+        if shingle_jaccard(passage, copy) >= 0.8:
+            want.add(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.k: r.n_removed_words for r in substring_dedup.repeats(docs).collect() if r.n_removed_words}
+    assert len(want) > 40 and len(want & set(got)) >= 0.95 * len(want)
+    assert sum(got[d] for d in want & set(got)) >= 0.75 * 90 * len(want)
+    assert all(d % 2 and n <= 90 for d, n in got.items())
+
+
 def test_paragraphs_agree_wherever_a_passage_stands():
     import pyarrow as pa
 
