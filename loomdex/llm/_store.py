@@ -14,9 +14,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session without that setting (a local test) gets one of its own."""
+    """The cluster's shared folder; only a session in one process (a local test) gets one of its own."""
     given = spark.conf.get(CONF, None)
     if given is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{CONF} must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = f"file://{tempfile.mkdtemp(prefix='loomdex-')}"
