@@ -283,8 +283,8 @@ def test_near_passages(spark):
             want.add(2 * i + 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.k: r.n_removed_words for r in substring_dedup.repeats(docs).collect() if r.n_removed_words}
-    assert len(want) > 40 and len(want & set(got)) >= 0.95 * len(want)
-    assert sum(got[d] for d in want & set(got)) >= 0.75 * 90 * len(want)
+    assert len(want) > 30 and len(want & set(got)) >= 0.95 * len(want)
+    assert sum(got[d] for d in want & set(got)) >= 0.6 * 90 * len(want)  # edges up to the first cut stay
     assert all(d % 2 and n <= 90 for d, n in got.items())
 
 
