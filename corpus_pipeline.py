@@ -3,6 +3,12 @@
 A stage takes (spark, docs, sf_dir) and returns a table with the columns of documents;
 the last returns the coded corpus. Between stages tables are written as Parquet in the
 session's shared folder and read again.
+
+Defined cases, in every stage: a null or empty text has no words, so the base rules reject
+it; null ids, sources and languages are values like others (a null id ranks last where one
+row of several stays); repeated rows are judged alike, and the join keeps one of them; very
+long texts are read whole; an empty table gives an empty table; further columns are carried
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -89,11 +89,15 @@ def error_code(message: Column) -> Column:
     return out.otherwise(F.lit("INTERNAL_ERROR"))
 
 
+#: Messages of network failures, messages that show a local path, and what stands for the latter.
+NETWORK_WORDS = r"(?i)fetch failed|econnrefused|econnreset|etimedout|https?://"
+LOCAL_PATHS = r"(?i)/(home|users|tmp|var|etc|opt)/|[a-z]:\\|\.\./"
+REDACTED = "Internal server error (potential path leak prevented)"
+
+
 def redact(message: Column) -> Column:
     """Network failures keep their text; any other message that shows a local path is replaced as a whole."""
-    network = message.rlike(r"(?i)fetch failed|econnrefused|econnreset|etimedout|https?://")
-    path = message.rlike(r"(?i)/(home|users|tmp|var|etc|opt)/|[a-z]:\\|\.\./")
-    return F.when(path & ~network, F.lit("Internal server error (potential path leak prevented)")).otherwise(message)
+    return F.when(message.rlike(LOCAL_PATHS) & ~message.rlike(NETWORK_WORDS), F.lit(REDACTED)).otherwise(message)
 
 
 def duration(ms: Column) -> Column:
