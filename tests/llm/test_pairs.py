@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,7 +171,7 @@ def removed_lines(spark, lines):
     return {r.doc_id for r in line_dedup.dedup(docs).collect() if r["__removed"]}
 
 
-def edited_lines(draw, words, changes, typo, pairs=30):
+def edited_lines(draw, words, changes, typo, pairs=60):
     """Pairs of a line and its copy with some words replaced, or with a typing error in some words."""
     lines = []
     for _ in range(pairs):
@@ -183,17 +184,12 @@ def edited_lines(draw, words, changes, typo, pairs=30):
 
 
 def similarity(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    return 1 - duckdb.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] / max(len(a), len(b))
 
 
 def test_recall_of_near_lines(spark):
     """Of the pairs at edit similarity 0.8 or more, brute force, nine in ten or more are found in every kind of line; no others are."""
-    kinds = {"typo of 15": (15, 1, True), "word of 15": (15, 1, False), "two of 15": (15, 2, False), "word of 40": (40, 1, False), "six of 60": (60, 6, False), "typo of 6": (6, 1, True), "word of 6": (6, 1, False), "thirteen of 30": (30, 13, False), "six of 120": (120, 6, False)}
+    kinds = {"typo of 15": (15, 1, True), "word of 15": (15, 1, False), "two of 15": (15, 2, False), "word of 40": (40, 1, False), "six of 60": (60, 6, False), "typo of 6": (6, 1, True), "word of 6": (6, 1, False), "thirteen of 30": (30, 13, False), "six of 120": (120, 6, False), "twelve of 250": (250, 12, False)}
     draw = random.Random(15)
     made = {kind: edited_lines(draw, *how) for kind, how in kinds.items()}
     removed = removed_lines(spark, [line for lines in made.values() for line in lines])
@@ -220,6 +216,27 @@ def test_a_line_that_repeats_a_word(spark):
     assert removed_lines(spark, [" ".join(w), " ".join([*w[:-1], "other"]), "* * *", "* * *", "- -"]) == {1, 3}
 
 
+def test_lines_with_one_changed_word(spark):
+    draw = random.Random(12)
+    lines = []
+    for _ in range(40):
+        w = sentence(draw, 20).split()
+        changed = list(w)
+        changed[draw.randrange(20)] = sentence(draw, 1)
+        lines += [" ".join(w), " ".join(changed)]
+    assert removed_lines(spark, lines) == set(range(1, 80, 2))
+
+
+def test_short_lines_with_a_change(spark):
+    draw = random.Random(13)
+    lines = []
+    for _ in range(20):
+        w = sentence(draw, 5).split()
+        typo = " ".join(w)
+        lines += [typo, typo[:-1] + "x", " ".join([*w[:2], w[2][:-1] + "z", *w[3:]])]
+    assert removed_lines(spark, lines) == {i for i in range(60) if i % 3}
+
+
 def test_lines_of_the_same_words_in_other_orders(spark):
     draw = random.Random(14)
     w = sentence(draw, 24).split()
@@ -267,10 +284,11 @@ def shingle_jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_near_passages(spark):
-    """Of the copies of passages that brute force puts at Jaccard 0.8 or more, nearly all are found, and most of their words go."""
+@pytest.fixture(scope="module")
+def near_passages(spark):
+    """(documents with a copy at Jaccard 0.8 or more, removed words of each document with a removal)."""
     draw = random.Random(18)
-    rows, want, words = [], set(), {}
+    rows, want = [], set()
     for i in range(60):
         passage = sentence(draw, 90).split()
         copy = list(passage)
@@ -282,12 +300,22 @@ def test_near_passages(spark):
         if shingle_jaccard(passage, copy) >= 0.8:
             want.add(2 * i + 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.k: r.n_removed_words for r in substring_dedup.repeats(docs).collect() if r.n_removed_words}
+    return want, {r.k: r.n_removed_words for r in substring_dedup.repeats(docs).collect() if r.n_removed_words}
+
+
+def test_near_passages(near_passages):
+    """Of the copies of passages that brute force puts at Jaccard 0.8 or more, nearly all are found."""
+    want, got = near_passages
     assert len(want) > 30 and len(want & set(got)) >= 0.95 * len(want)
-    assert sum(got[d] for d in want & set(got)) >= 0.6 * 90 * len(want)  # edges up to the first cut stay
     assert all(d % 2 and n <= 90 for d, n in got.items())
 
 
+@pytest.mark.xfail(strict=True, reason="66 % of the words go: edges up to the first cut, and paragraphs with an edit there, stay")
+def test_words_of_near_passages(near_passages):
+    want, got = near_passages
+    assert sum(got.get(d, 0) for d in want) >= 0.75 * 90 * len(want)
+
+
 def test_paragraphs_agree_wherever_a_passage_stands():
     import pyarrow as pa
 
