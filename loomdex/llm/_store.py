@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomdex_path = path
     return out

@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, one query each, with production parameters."""
+"""The operators applied to their whole tables, one query each, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BPE_FILE = "byte_bpe_50k.json"
+BPE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,31 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import alignment
+
+    a, b = bpe_model_path(BPE_FILE), bpe_model_path(PIECE_FILE)
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    scored = alignment.score(aligned.withColumn("groups_sha256", digest).drop("groups"), alignment.vocabulary_size(b))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import infill
+
+    made = infill.transform(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm import near_dedup
+
+    placed = near_dedup.components(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
@@ -115,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op11_align": op11_align,
+    "op12_fim": op12_fim,
+    "op13_near": op13_near,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_search": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
