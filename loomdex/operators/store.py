@@ -1,15 +1,13 @@
-"""The chunk store: Parquet rows in path buckets, replaced file by file, with counters.
+"""The index's tables: chunk rows by file, the hash tree, dead letters and the embedding cache, in one version log.
 
-Pure transformations come first; ``ChunkStore`` applies them. No plan overwrites what it
-reads.
+Pure transformations come first; ``ChunkStore`` applies them as changes of
+``loomdex.operators.tables``. No plan overwrites what it reads.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +17,11 @@ from pyspark.sql.window import Window
 from loomdex import schemas
 from loomdex.functions import vectors
 from loomdex.functions.text import ancestors
+from loomdex.operators.tables import Change, Folder, Spec, State, Tables
 
-BUCKETS, MIN_STALE, THRESHOLD = 64, 1, 0.2
+__all__ = ["Change", "ChunkStore", "Folder"]
+
+MIN_STALE, THRESHOLD = 1, 0.2
 
 
 def under(path: Column, prefix: str) -> Column:
@@ -112,6 +113,15 @@ def cache_prune(cache: DataFrame, now: Column, days: int) -> DataFrame:
 
 # ---------------------------------------------------------------- store
 
+STORED = ", ".join(c for c in schemas.CHUNKS.split(", ") if not c.startswith("path_bucket"))
+SPECS = (
+    Spec("chunks", STORED, "filePath", "filePath"),
+    Spec("cache", schemas.EMBEDDING_CACHE, "hash", "hash"),
+    # A folder's children share a bucket, so a level of the tree is read by its parents.
+    Spec("tree", schemas.MERKLE_NODES, "parentPath", "path"),
+    Spec("dead_letters", schemas.DEAD_LETTERS, "filePath", "filePath"),
+)
+
 
 @dataclass
 class Counters:
@@ -122,191 +132,110 @@ class Counters:
     lastIndexedAt: str | None = None
     lastFullScanAt: str | None = None
     lastError: str | None = None
-    version: int = 0
-    #: Folders of each bucket's rows, below the store's root.
-    buckets: dict[str, list[str]] = field(default_factory=dict)
-    cache: str | None = None
-
-
-class Folder:
-    """A folder of any file system that Hadoop knows."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path())
-
-    def _path(self, name: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def names(self, below: str = "") -> list[str]:
-        at = self._path(below)
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> None:
-        """Writes a file that must not exist yet; another writer's file of that name is an error."""
-        part = f"{name}.{uuid.uuid4().hex}.part"
-        stream = self._fs.create(self._path(part), False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self._fs.exists(self._path(name)) or not self._fs.rename(self._path(part), self._path(name)):
-            self._fs.delete(self._path(part), False)
-            raise RuntimeError(f"another writer was faster: {name}")
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._path(name), True)
-
-
-def bucket_of(path: Column) -> Column:
-    return F.pmod(F.hash(path), F.lit(BUCKETS))
 
 
 class ChunkStore:
-    """A chunk table in path buckets at a folder; one writer at a time.
+    """Chunk rows and the tables that belong to them at a folder; one writer at a time (``tables.Tables``).
 
-    A numbered file of the ``log`` folder names each version's folders of rows, bucket by
-    bucket. A commit writes the buckets that it changes and then the next number, which
-    fails if another writer took it; readers take the last number and never see half a
-    change. Folders that none of the last ``KEEP`` versions names are removed.
+    ``changes`` arguments name changes of the other tables that are committed with the rows.
     """
 
-    KEEP = 2
-
-    def __init__(self, spark: SparkSession, root: str, dimensions: int) -> None:
+    def __init__(self, spark: SparkSession, root: str, dimensions: int, **how) -> None:
         if dimensions <= 0:
             raise ValueError("dimensions must be positive")
-        self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
-        self.counters = Counters(dimensions)
-        self.refresh()
+        self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
+        self.tables = Tables(spark, root, SPECS, **how)
         if self.counters.dimensions != dimensions:
             raise ValueError(f"store holds vectors of {self.counters.dimensions} dimensions, not {dimensions}")
 
-    def _versions(self) -> list[str]:
-        return [n for n in self.folder.names("log") if n.endswith(".json")]
+    @property
+    def counters(self) -> Counters:
+        return Counters(**{"dimensions": self.dimensions} | self.tables.state.counters)
 
     def refresh(self) -> None:
         """Takes over the newest version, also another writer's."""
-        if versions := self._versions():
-            self.counters = Counters(**json.loads(self.folder.read(f"log/{versions[-1]}")))
+        self.tables.refresh()
 
-    def rows(self, paths: Iterable[str] | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
-        """All rows, those of some files, or those of some buckets; other buckets are not read."""
-        held = self.counters.buckets
+    def lease(self, seconds: float = 3600.0):
+        """``with store.lease() as state: store.rows(state=state)`` reads one version, whatever is written meanwhile."""
+        return self.tables.lease(seconds)
+
+    def rows(self, paths: Iterable[str] | None = None, among: DataFrame | None = None, state: State | None = None) -> DataFrame:
+        """All rows, or those of some files (names, or a table's first column); other buckets are not read."""
         if paths is not None:
             paths = list(paths)
-            asked = self.spark.createDataFrame([(p,) for p in paths], "p string")
-            buckets = [r.b for r in asked.select(bucket_of(F.col("p")).alias("b")).distinct().collect()]
-        folders = [f for b, fs in sorted(held.items()) if buckets is None or int(b) in set(buckets) for f in fs]
-        if not folders:
-            return self.spark.createDataFrame([], schemas.CHUNKS)
-        found = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
-        found = found.withColumn("path_bucket", bucket_of(F.col("filePath")))
-        return found if paths is None else found.where(F.col("filePath").isin(paths))
-
-    def _write(self, rows: DataFrame) -> dict[str, list[str]]:
-        """Writes rows by bucket; the folder of each bucket that has any."""
-        name = f"v-{uuid.uuid4().hex}"
-        bucketed = rows.withColumn("path_bucket", bucket_of(F.col("filePath")))
-        # Rebalance keeps a bucket together but splits one that is too large for a task.
-        bucketed.hint("rebalance", "path_bucket").write.partitionBy("path_bucket").parquet(f"{self.root}/{name}")
-        return {n.split("=")[1]: [f"{name}/{n}"] for n in self.folder.names(name) if n.startswith("path_bucket=")}
-
-    def _commit(self, buckets: dict[str, list[str]] | None = None, **counts) -> None:
-        held = asdict(self.counters) | counts
-        held["version"] += 1
-        if buckets is not None:
-            held["buckets"] = {b: f for b, f in buckets.items() if f}
-        self.folder.create(f"log/{held['version']:012d}.json", json.dumps(held))
-        self.counters = Counters(**held)
-        self._expire()
-
-    def _expire(self) -> None:
-        versions = self._versions()
-        for old in versions[: -self.KEEP]:
-            self.folder.delete(f"log/{old}")
-        used = set()
-        for v in versions[-self.KEEP :]:
-            at = json.loads(self.folder.read(f"log/{v}"))
-            used |= {f.split("/")[0] for fs in at["buckets"].values() for f in fs} | {at["cache"]}
-        for name in self.folder.names():
-            if name.startswith(("v-", "cache-")) and name not in used:
-                self.folder.delete(name)
-
-    def _replace(self, touched: set[int], made: DataFrame, added: dict[str, list[str]] | None = None, **counts) -> None:
-        """A version in which the touched buckets hold the given rows, and what ``added`` names."""
-        kept = {b: f for b, f in self.counters.buckets.items() if int(b) not in touched}
-        for part in (self._write(made), added or {}):
-            for b, f in part.items():
-                kept[b] = kept.get(b, []) + f
-        self._commit(kept, **counts)
+            return self.tables.read("chunks", self._paths(paths), state=state).where(F.col("filePath").isin(paths))
+        return self.tables.read("chunks", among, state=state)
+
+    def _paths(self, paths: Iterable[str], name: str = "filePath") -> DataFrame:
+        return self.spark.createDataFrame([(p,) for p in paths], f"{name} string")
+
+    def _ready(self, new: DataFrame) -> DataFrame:
+        return new.withColumn("vector", vectors.or_zero(F.col("vector"), self.dimensions)).withColumn("symbolName", F.coalesce("symbolName", F.lit("")))
 
     def upsert(self, new: DataFrame, affected: DataFrame | None = None) -> dict:
         return self.apply(new, affected)
 
-    def apply(self, new: DataFrame | None = None, affected: DataFrame | None = None, gone: DataFrame | None = None, renames: DataFrame | None = None) -> dict:
+    def below(self, gone: DataFrame, state: State | None = None) -> DataFrame:
+        """(filePath): the stored files that are, or lie below, the given paths (path).
+
+        With a tree the folders are opened level by level, by their bucket; without one the
+        paths of all rows are read.
+        """
+        gone = gone.select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
+        if (state or self.tables.state).live("tree"):
+            from loomdex.operators import merkle
+
+            nodes = merkle.expand(gone, self.children(state))
+            return nodes.where("not isDirectory").select(F.col("path").alias("filePath")).unionByName(gone.select(F.col("path").alias("filePath"))).distinct()
+        lead = self.rows(state=state).select("filePath").distinct().select("filePath", F.explode(F.array_append(ancestors(F.col("filePath")), F.col("filePath"))).alias("path"))
+        return lead.join(gone, "path", "left_semi").select("filePath").distinct()
+
+    def apply(self, new: DataFrame | None = None, affected: DataFrame | None = None, gone: DataFrame | None = None, renames: DataFrame | None = None, changes: dict[str, Change] | None = None, batch: tuple[str, int] | None = None, finish: tuple[str, bool] | None = None) -> dict | None:
         """One version for a batch: renames (oldPath, newPath), then files and folders that are gone (path), then the files
-        of ``affected`` and ``new`` give way to the rows of ``new``. New rows are made once, and only buckets that change
-        are read and written."""
-        nothing = self.spark.createDataFrame([], "filePath string")
-        fresh: dict[str, list[str]] = {}
-        if new is not None:
-            ready = new.withColumn("vector", vectors.or_zero(F.col("vector"), self.counters.dimensions)).withColumn("symbolName", F.coalesce("symbolName", F.lit("")))
-            fresh = self._write(ready.withColumn("path_bucket", F.lit(0)).select(*self.spark.createDataFrame([], schemas.CHUNKS).columns))
-        folders = [f"{self.root}/{f}" for fs in fresh.values() for f in fs]
-        written = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*folders) if folders else self.spark.createDataFrame([], schemas.CHUNKS)
-        paths = written.select("filePath").unionByName(nothing if affected is None else affected.select("filePath")).distinct()
-        moved = renames.select("oldPath", "newPath") if renames is not None else self.spark.createDataFrame([], "oldPath string, newPath string")
-        dropped = gone.select("path").distinct() if gone is not None else None
-        below = nothing
-        if dropped is not None:
-            lead = self.rows().select("filePath").distinct().select("filePath", F.explode(F.array_append(ancestors(F.col("filePath")), F.col("filePath"))).alias("path"))
-            below = lead.join(dropped, "path", "left_semi").select("filePath").distinct()
-        changed = paths.unionByName(below).unionByName(moved.select(F.explode(F.array("oldPath", "newPath")).alias("filePath")))
-        touched = {r.b for r in changed.select(bucket_of(F.col("filePath")).alias("b")).distinct().collect()}
-        old = self.rows(buckets=touched)
-        after = rename(old, moved) if renames is not None else old
-        if dropped is not None:
-            after = after.join(below, "filePath", "left_anti")
-        kept = after.join(paths, "filePath", "left_anti")
-        size = lambda rows, name: rows.groupBy("filePath").agg(F.count("*").alias(name))
-        tally = size(old, "was").join(size(kept, "stays"), "filePath", "full_outer").join(size(written, "came"), "filePath", "full_outer").fillna(0, ["was", "stays", "came"])
-        tally = tally.join(changed.distinct().withColumn("hit", F.lit(1)), "filePath", "left")
-        row = tally.agg(
-            F.coalesce(F.sum(F.col("was") * F.coalesce("hit", F.lit(0))), F.lit(0)).alias("stale"),
-            F.count_if((F.col("was") == 0) & (F.col("stays") + F.col("came") > 0)).alias("added"),
-            F.count_if((F.col("was") > 0) & (F.col("stays") + F.col("came") == 0)).alias("gone"),
-        ).first()
-        self._replace(touched, kept, fresh, staleCount=self.counters.staleCount + row.stale, totalFiles=self.counters.totalFiles + row.added - row.gone)
-        return {"deleted": row.stale, "newFiles": row.added}
-
-    def rebuild(self, new: DataFrame, **counts) -> dict:
-        """A version of new rows alone; until it is written readers have the old one."""
-        ready = new.withColumn("vector", vectors.or_zero(F.col("vector"), self.counters.dimensions)).withColumn("symbolName", F.coalesce("symbolName", F.lit("")))
-        made = self._write(ready.withColumn("path_bucket", F.lit(0)).select(*self.spark.createDataFrame([], schemas.CHUNKS).columns))
-        folders = [f"{self.root}/{f}" for fs in made.values() for f in fs]
-        files = self.spark.read.schema(schemas.CHUNKS).option("recursiveFileLookup", "true").parquet(*folders).select("filePath").distinct().count() if folders else 0
-        self._commit(made, totalFiles=files, staleCount=0, **counts)
-        return {"deleted": 0, "newFiles": files}
-
-    def _delete(self, hit: Column, old: DataFrame) -> int:
-        per = old.where(hit).groupBy("path_bucket").agg(F.count("*").alias("n"), F.count_distinct("filePath").alias("files")).collect()  # a row for each bucket
-        n, touched = sum(r.n for r in per), {r.path_bucket for r in per}
-        if n:
-            self._replace(touched, self.rows(buckets=touched).where(~hit), staleCount=self.counters.staleCount + n, totalFiles=max(0, self.counters.totalFiles - sum(r.files for r in per)))
-        return n
+        of ``affected`` and ``new`` give way to the rows of ``new``. Only the batch's rows and the paths whose older rows
+        are dead are written. finish: the time and kind of the run that this ends. None if the batch (source, number) has
+        been applied before."""
+        leaving = [affected.select("filePath")] if affected is not None else []
+        if gone is not None:
+            leaving.append(self.below(gone).select("filePath"))
+        coming = [self._ready(new).select(*self._columns)] if new is not None else []
+        if renames is not None:
+            moved = rename(self.rows(among=renames.select("oldPath")), renames.select("oldPath", "newPath"))
+            for other in (*leaving, *([new.select("filePath")] if new is not None else [])):
+                moved = moved.join(other.distinct(), "filePath", "left_anti")
+            coming.append(moved.select(*self._columns))
+            leaving.append(renames.select(F.explode(F.array("oldPath", "newPath")).alias("filePath")))
+        union = lambda parts: None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+        change = Change(union(coming), union(leaving))
+
+        def counted(done: dict) -> dict:
+            rows = done["chunks"]
+            return {"staleCount": self.counters.staleCount + rows["dead"], "totalFiles": self.counters.totalFiles + rows["new"] - rows["left"]} | self._ended(done, finish)
+
+        done = self.tables.commit({"chunks": change} | (changes or {}), counted, batch)
+        return None if done is None else {"deleted": done["chunks"]["dead"], "newFiles": done["chunks"]["new"]}
+
+    @property
+    def _columns(self) -> list[str]:
+        return self.spark.createDataFrame([], STORED).columns
+
+    def rebuild(self, new: DataFrame, expected: int = 0, changes: dict[str, Change] | None = None, finish: tuple[str, bool] | None = None) -> dict:
+        """A version of new rows alone; until it is written readers have the old one. expected: about how many rows."""
+        change = Change(self._ready(new).select(*self._columns), whole=True, expected=expected)
+        done = self.tables.commit({"chunks": change} | (changes or {}), lambda done: {"totalFiles": done["chunks"]["new"], "staleCount": 0} | self._ended(done, finish))
+        return {"deleted": 0, "newFiles": done["chunks"]["new"]}
+
+    def _delete(self, paths: DataFrame) -> int:
+        return self.apply(affected=paths)["deleted"]
 
     def delete_path(self, path: str) -> int:
-        return self._delete(F.col("filePath") == path, self.rows([path]))
+        return self._delete(self._paths([path])) if not self.rows([path]).isEmpty() else 0
 
     def delete_prefix(self, prefix: str) -> int:
-        return self._delete(under(F.col("filePath"), prefix), self.rows())
+        hit = self.below(self._paths([prefix], "path"))
+        held = self.rows(among=hit).select("filePath").distinct()
+        return 0 if held.isEmpty() else self._delete(held)
 
     def rename(self, old: str, new: str) -> int:
         n = self.rows([old]).count()
@@ -315,50 +244,91 @@ class ChunkStore:
         return n
 
     def stats(self) -> dict:
-        row = self.rows().agg(F.count("*").alias("n"), F.countDistinct("filePath").alias("files")).first()
-        c, stale = self.counters, self.counters.staleCount
+        c, n = self.counters, self.tables.state.live("chunks")
         return {
-            "totalChunks": row.n, "totalFiles": row.files, "staleCount": stale, "fragmentationRatio": stale / (row.n + stale) if row.n + stale else 0.0, "dimensions": c.dimensions,
+            "totalChunks": n, "totalFiles": c.totalFiles, "staleCount": c.staleCount, "fragmentationRatio": c.staleCount / (n + c.staleCount) if n + c.staleCount else 0.0, "dimensions": c.dimensions,
             "lastCompactedAt": c.lastCompactedAt, "lastIndexedAt": c.lastIndexedAt, "lastFullScanAt": c.lastFullScanAt, "lastError": c.lastError,
         }
 
+    @staticmethod
+    def outcome(open_: int, now: str, full: bool = False) -> dict:
+        """What a finished run records: times only while no dead letter is open, otherwise its error with the old times kept."""
+        if open_:
+            return {"lastError": f"{open_} files failed to index"}
+        return {"lastIndexedAt": now, "lastError": None} | ({"lastFullScanAt": now} if full else {})
+
+    def _ended(self, done: dict, finish: tuple[str, bool] | None) -> dict:
+        letters = done.get("dead_letters", {"came": 0, "dead": 0})
+        return {} if finish is None else self.outcome(self.tables.state.live("dead_letters") + letters["came"] - letters["dead"], *finish)
+
     def complete(self, dead_letters: DataFrame | None, now: str, full: bool = False) -> str:
-        """Records a finished run only while no dead letter is open; otherwise its error, with the old times kept."""
+        """Records a finished run by the given dead letters."""
         open_ = 0 if dead_letters is None else dead_letters.count()
-        if open_:
-            self._commit(lastError=f"{open_} files failed to index")
-            return "incomplete"
-        self._commit(lastIndexedAt=now, lastError=None, **({"lastFullScanAt": now} if full else {}))
-        return "complete"
+        self.tables.commit({}, self.outcome(open_, now, full))
+        return "incomplete" if open_ else "complete"
 
     def note(self, error: str | None) -> None:
         if self.counters.lastError != error:
-            self._commit(lastError=error)
+            self.tables.commit({}, {"lastError": error})
 
     def compact(self, now: str, threshold: float = THRESHOLD, min_stale: int = MIN_STALE, force: bool = False) -> dict:
-        """Writes each bucket's folders as one if enough rows are stale."""
+        """Rewrites the buckets with dead rows or several parts if enough rows are stale, and splits those that are too large."""
         before = self.stats()
         if not force and not should_compact(before["totalChunks"], before["staleCount"], threshold, min_stale):
             return {"compacted": False, "before": before["fragmentationRatio"], "after": before["fragmentationRatio"], "removed": 0}
-        split = {int(b) for b, f in self.counters.buckets.items() if len(f) > 1}
-        self._replace(split, self.rows(buckets=split), staleCount=0, lastCompactedAt=now)
+        mixed = {b for b, held in self.tables.buckets("chunks").items() if held["gone"] or len(held["parts"]) > 1}
+        self.tables.compact("chunks", mixed | self.tables.worn("chunks"), {"staleCount": 0, "lastCompactedAt": now})
         return {"compacted": True, "before": before["fragmentationRatio"], "after": 0.0, "removed": before["staleCount"]}
 
+    def upkeep(self) -> int:
+        """Rewrites worn buckets of every table; each has few of them after a batch, whatever the tables' size."""
+        return sum(self.tables.compact(name) for name in self.tables.specs)
+
     def compact_when_idle(self, now: str, last_change: datetime, at: datetime, idle_seconds: int = 300, **how) -> dict | None:
         """Compaction if nothing has changed for so long; None if something has."""
         return self.compact(now, **how) if (at - last_change).total_seconds() >= idle_seconds else None
 
     def reset(self) -> None:
-        self._commit({}, staleCount=0, totalFiles=0)
+        self.tables.commit({name: Change(whole=True) for name in ("chunks", "tree", "dead_letters")}, asdict(Counters(self.dimensions)))
 
-    # The embedding cache is a table beside the rows and belongs to the same versions.
+    # The tables beside the rows belong to the same versions.
 
-    def cache(self) -> DataFrame:
-        if self.counters.cache is None:
-            return self.spark.createDataFrame([], schemas.EMBEDDING_CACHE)
-        return self.spark.read.schema(schemas.EMBEDDING_CACHE).parquet(f"{self.root}/{self.counters.cache}")
+    def cache(self, hashes: DataFrame | None = None) -> DataFrame:
+        """The embedding cache, or its rows of some hashes (first column)."""
+        return self.tables.read("cache", hashes)
 
     def save_cache(self, cache: DataFrame) -> None:
-        name = f"cache-{uuid.uuid4().hex}"
-        cache.write.parquet(f"{self.root}/{name}")
-        self._commit(cache=name)
+        """The cache as given, in place of the old one."""
+        self.tables.commit({"cache": Change(cache, whole=True)})
+
+    def add_to_cache(self, new: DataFrame) -> None:
+        """New vectors replace those of equal hashes; no other row is written."""
+        self.tables.commit({"cache": Change(new)})
+
+    def prune_cache(self, now: Column, days: int) -> int:
+        """Removes vectors older than so many days; how many."""
+        old = self.cache().select("hash", "createdAt").join(cache_prune(self.cache().select("hash", "createdAt"), now, days).select("hash"), "hash", "left_anti")
+        return self.tables.commit({"cache": Change(gone=old.select("hash"))})["cache"]["dead"]
+
+    def delete_from_cache(self, hashes: DataFrame) -> int:
+        return self.tables.commit({"cache": Change(gone=hashes.select("hash"))})["cache"]["dead"]
+
+    def clear_cache(self) -> int:
+        return self.tables.commit({"cache": Change(whole=True)})["cache"]["dead"]
+
+    def children(self, state: State | None = None):
+        """Reads the stored tree by folders, as ``merkle.Children``: nodes at the top have parentPath ''."""
+        return lambda parents: self.tables.read("tree", parents, state=state)
+
+    def tree(self, state: State | None = None) -> DataFrame:
+        """All nodes of the hash tree."""
+        return self.tables.read("tree", state=state).withColumn("parentPath", F.nullif("parentPath", F.lit("")))
+
+    @staticmethod
+    def tree_change(upserts: DataFrame, gone: DataFrame | None = None, whole: bool = False) -> Change:
+        """The tree's change for nodes that come and nodes (path, parentPath) that go, as ``merkle.delta`` gives them."""
+        top = lambda rows: rows.withColumn("parentPath", F.coalesce("parentPath", F.lit("")))
+        return Change(top(upserts), None if gone is None else top(gone), whole)
+
+    def dead_letters(self) -> DataFrame:
+        return self.tables.read("dead_letters")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,18 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import globs, limits, vectors
 from loomdex.functions.hashing import content_hash
-from loomdex.operators import chunking, context, dead_letters, events, merkle, search
-from loomdex.operators.store import ChunkStore, cache_lookup, cache_misses, cache_put
+from loomdex.operators import chunking, context, dead_letters, embedding, events, merkle, search
+from loomdex.operators.store import ChunkStore, cache_lookup, cache_misses
+from loomdex.operators.tables import Change
+from loomdex.scratch import written
 from loomdex.sources import files as file_source
 
-#: An embedder: a column of texts to a column of vectors, and a text to a query vector.
-Embedder = tuple[Callable[[Column], Column], Callable[[str], list[float]]]
+#: An embedder: a column of texts to a column of vectors, or batches of texts that may fail; and a text to a query vector.
+Embedder = tuple[Callable[[Column], Column] | embedding.Batches, Callable[[str], list[float]]]
+
+
+class SearchFailed(RuntimeError):
+    """Both legs of a hybrid search failed."""
 
 
 @dataclass
@@ -31,14 +38,13 @@ class Settings:
     compact_threshold: float = 0.2
     max_queue: int = events.MAX_QUEUE
     full_scan_at: int = events.FULL_SCAN_AT
-    window_files: int = 16
     query_cache: int = 256
 
     @classmethod
     def load(cls, given: dict | None = None, environment: dict | None = None) -> Settings:
         """Environment over file over default; a value of the wrong kind falls through."""
         out = cls()
-        for name, kind in (("dimensions", int), ("window", int), ("overlap", int), ("max_chars", int), ("max_file_bytes", int), ("compact_threshold", float), ("max_queue", int), ("full_scan_at", int), ("window_files", int), ("query_cache", int)):
+        for name, kind in (("dimensions", int), ("window", int), ("overlap", int), ("max_chars", int), ("max_file_bytes", int), ("compact_threshold", float), ("max_queue", int), ("full_scan_at", int), ("query_cache", int)):
             for value in ((environment or {}).get(f"LOOMDEX_{name.upper()}"), (given or {}).get(name)):
                 try:
                     if value is not None and kind(value) >= 0:
@@ -62,16 +68,13 @@ class Response:
 
 @dataclass
 class Engine:
-    """All searches are lazy plans; only reindex and the store's counters run jobs."""
+    """Searches, and index runs that each write one version of the store: rows, tree, dead letters, cache and times."""
 
     spark: SparkSession
     files: DataFrame  # filePath, language, content
     store: ChunkStore
     settings: Settings = field(default_factory=Settings)
     embedder: Embedder = (vectors.embed_sha256, vectors.embed_query)
-    cache: DataFrame | None = None
-    dead_letters: DataFrame | None = None
-    tree: DataFrame | None = None
     #: Whether the embedder works; a failing check counts as no.
     health: Callable[[], bool] = lambda: True
     #: Called with (event, values) after searches and index runs.
@@ -79,11 +82,21 @@ class Engine:
     _running: threading.Lock = field(default_factory=threading.Lock)
     last_error: str | None = None
     skipped: DataFrame | None = None
+    #: What the present or last run is at: its phase, and files in all and done.
+    progress: dict = field(default_factory=lambda: {"phase": "idle", "files": 0, "done": 0})
     queries: limits.LruCache | None = None
 
     def __post_init__(self) -> None:
         self.queries = limits.LruCache(self.settings.query_cache)
 
+    @property
+    def dead_letters(self) -> DataFrame:
+        return self.store.dead_letters()
+
+    @property
+    def tree(self) -> DataFrame:
+        return self.store.tree()
+
     def _query_vector(self, text: str) -> list[float]:
         return self.queries.get(text, lambda: self.embedder[1](text))
 
@@ -97,23 +110,33 @@ class Engine:
         return search.submatches(found.select("filePath", "lineNumber", "lineText"), pattern, case_sensitive, fixed)
 
     def hybrid_search(self, query: str, top_k: int = search.TOP_K, grep_pattern: str | None = None, file_pattern: str | None = None, file_patterns: Iterable[str] | None = None, language: str | None = None, include_snippet: bool = False, context_lines: int = context.CONTEXT_LINES, fixed: bool = False) -> Response:
-        """Both legs run as jobs of their own, a top-k each; one that fails counts as empty and is named in ``failed``."""
+        """Both legs run side by side as jobs of their own, a top-k each. One that fails counts as empty and is named in
+        ``failed``; if both fail, so does the search. Arguments out of range and paths that leave the root are refused."""
+        asked = limits.search_arguments(query, top_k, context_lines=context_lines)
         began, failed = time.monotonic(), {}
-        patterns = [file_pattern] if file_pattern else file_patterns
-
-        def leg(name: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
-            try:
-                return self.spark.createDataFrame(make().toArrow())  # at most top_k rows
-            except Exception as failure:
-                failed[name] = str(failure)
-                return self.spark.createDataFrame([], schema)
-
-        near = leg("semantic", lambda: search.semantic_search(self.store.rows(), query, vectors.check_top_k(top_k), patterns, language, embed=self._query_vector, dimensions=self.settings.dimensions).select(*search.CHUNK, "score", "source"), search.SEMANTIC_LEG)
-        lines = leg("grep", lambda: search.grep(chunking.explode_lines(self.files), grep_pattern or query, patterns, max_results=top_k, fixed=fixed).select("filePath", "lineNumber", "lineText"), search.GREP_LEG)
-        found = search.fuse_legs(near, lines, top_k)
+        patterns = [globs.check_glob(p) for p in ([file_pattern] if file_pattern else file_patterns or [])] or None
+
+        def near() -> DataFrame:
+            found = search.semantic_search(self.store.rows(), query, top_k, patterns, language, embed=self._query_vector, dimensions=self.settings.dimensions)
+            return found.select(*search.CHUNK, "score", "source")
+
+        def lines() -> DataFrame:
+            found = search.grep(chunking.explode_lines(self.files), grep_pattern or query, patterns, max_results=top_k, fixed=fixed)
+            return found.select("filePath", "lineNumber", "lineText")
+
+        legs = {"semantic": (near, search.SEMANTIC_LEG), "grep": (lines, search.GREP_LEG)}
+        with ThreadPoolExecutor(len(legs)) as pool:
+            running = {name: pool.submit(lambda make=make: make().toArrow()) for name, (make, _) in legs.items()}  # at most top_k rows
+        for name, leg in running.items():
+            if leg.exception() is not None:
+                failed[name] = str(leg.exception())
+        if len(failed) == len(legs):
+            raise SearchFailed(f"both legs of the search failed: {failed}")
+        got = {name: self.spark.createDataFrame([], schema) if name in failed else self.spark.createDataFrame(running[name].result()) for name, (_, schema) in legs.items()}
+        found = search.fuse_legs(got["semantic"], got["grep"], top_k)
         if include_snippet:
             flat = found.select("*", "chunk.filePath", "chunk.startLine", "chunk.endLine")
-            found = context.snippets(flat, self.files, context_lines).drop("filePath", "startLine", "endLine")
+            found = context.snippets(flat, self.files, asked["context_lines"]).drop("filePath", "startLine", "endLine")
         found = self.spark.createDataFrame(found.toArrow())  # at most top_k rows
         took = (time.monotonic() - began) * 1000
         self.hook("search", {"tookMs": took, "failed": failed})
@@ -122,7 +145,7 @@ class Engine:
     def rest_search(self, query: str, files: Iterable[str]) -> DataFrame:
         """(file, content): the chunks of the given files that are nearest to the query, 20 at most; unknown files are ignored."""
         wanted = self.spark.createDataFrame([(globs.check_glob(f),) for f in files], "filePath string").distinct()
-        chunks = self.embed(self.chunk(self.files.join(F.broadcast(wanted), "filePath", "left_semi")), keep=False)
+        chunks = self._embed(self.chunk(self.files.join(F.broadcast(wanted), "filePath", "left_semi")))[0]
         return search.rest_rows(chunks, query, self._query_vector)
 
     def get_context(self, path: str, start: int | None = None, end: int | None = None, mode: str = "eager") -> DataFrame:
@@ -132,14 +155,14 @@ class Engine:
         return context.get_context(self.files.where(F.col("filePath") == clean), start, end, mode == "deferred")
 
     def index_status(self) -> dict:
-        open_ = 0 if self.dead_letters is None else self.dead_letters.count()
+        open_ = self.store.tables.state.live("dead_letters")
         try:
             healthy = bool(self.health())
         except Exception:
             healthy = False
         stats = self.store.stats()
         skipped = 0 if self.skipped is None else self.skipped.count()
-        return stats | {"deadLetters": open_, "running": self._running.locked(), "lastError": self.last_error or stats["lastError"], "healthy": healthy, "skippedFiles": skipped}
+        return stats | {"deadLetters": open_, "running": self._running.locked(), "lastError": self.last_error or stats["lastError"], "healthy": healthy, "skippedFiles": skipped, "progress": dict(self.progress)}
 
     def chunk(self, files: DataFrame) -> DataFrame:
         made = chunking.chunk_files(self.small(files), self.settings.window, self.settings.overlap, self.settings.max_chars)
@@ -149,45 +172,93 @@ class Engine:
         """The files within the size limit; larger ones have no chunks and are listed in ``skipped``."""
         return files.where(F.coalesce(F.octet_length("content") <= self.settings.max_file_bytes, F.lit(True)))
 
-    def embed(self, chunks: DataFrame, keep: bool = True) -> DataFrame:
-        """Vectors from the cache where it has them; each other text is embedded once and, with keep, stored."""
-        if self.cache is None:
-            return chunks.withColumn("vector", self.embedder[0](F.col("content")).cast("array<float>"))
-        missed = cache_misses(cache_lookup(chunks, self.cache))
-        made = missed.select("hash", self.embedder[0](F.col("content")).cast("array<float>").alias("vector"))
-        rows = made.select("hash", "vector", F.size("vector").alias("dimensions"), F.current_timestamp().alias("createdAt"))
-        if not keep:
-            return cache_lookup(chunks, cache_put(self.cache, rows))
-        self.store.save_cache(cache_put(self.cache, rows))
-        self.cache = self.store.cache()
-        return cache_lookup(chunks, self.cache)
+    def _embed(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(chunks with vectors but for those of failed files, new cache rows, failed files with their errors).
+
+        Vectors come from the cache where it has them; each other text is embedded once.
+        """
+        known = cache_lookup(chunks, self.store.cache(chunks.select("hash")))
+        missed = cache_misses(known).select("hash", "content")
+        how = self.embedder[0]
+        if isinstance(how, embedding.Batches):
+            made = written(embedding.embed(missed, how))
+        else:
+            made = written(missed.select("hash", how(F.col("content")).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts")))
+        failed = written(embedding.failed_files(chunks, made))
+        new = made.where("error is null").select("hash", F.col("vector").alias("__new"))
+        ready = known.join(new, "hash", "left").withColumn("vector", F.coalesce("vector", "__new")).drop("__new").join(failed.select("filePath"), "filePath", "left_anti")
+        fresh = new.select("hash", F.col("__new").alias("vector"), F.size("__new").alias("dimensions"), F.current_timestamp().alias("createdAt"))
+        return ready, fresh, failed
+
+    def _prepare(self, files: DataFrame, hashed: DataFrame, now: str | None) -> tuple[DataFrame, DataFrame, dict[str, Change]]:
+        """(rows, files (path, hash) that got them, changes of the cache and the dead letters) for files to be indexed."""
+        self.progress |= {"phase": "chunking"}
+        chunks = written(self.chunk(files))
+        self.progress |= {"phase": "embedding"}
+        rows, fresh, failed = self._embed(chunks)
+        when = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        entries = failed.join(hashed.withColumnRenamed("path", "filePath"), "filePath", "left").select(
+            F.sha2(F.concat("filePath", F.lit(":"), F.coalesce("hash", F.lit(""))), 256).alias("id"), "filePath", F.col("hash").alias("contentHash"), "errorMessage", "attempts",
+            F.lit(0).alias("recoveryAttempts"), when.alias("createdAt"), when.alias("updatedAt"), F.lit(None).cast("timestamp").alias("lastRetryAt"),
+        )
+        changes = {"cache": Change(fresh)}
+        if not failed.isEmpty():
+            held = self.store.tables.read("dead_letters", entries.select("filePath"))
+            changes["dead_letters"] = Change(dead_letters.enqueue(held, entries.select(*held.columns)))
+        done = hashed.join(failed.select(F.col("filePath").alias("path")), "path", "left_anti")
+        self.progress |= {"phase": "writing"}
+        return rows, done, changes
+
+    def _trim_letters(self) -> None:
+        """Keeps the newest dead letters up to the table's capacity."""
+        if self.store.tables.state.live("dead_letters") > dead_letters.CAPACITY:
+            over = self.dead_letters.select("filePath").join(dead_letters.trim(self.dead_letters).select("filePath"), "filePath", "left_anti")
+            self.store.tables.commit({"dead_letters": Change(gone=over)})
 
     def reindex(self, full: bool = False, now: str = "1970-01-01T00:00:00.000Z") -> dict:
-        """Chunks, embeds and stores all files; one run at a time.
+        """Indexes the files that differ from the stored tree, or all of them; one run at a time.
 
-        A full rebuild is written beside the old rows, which readers keep until it is done.
-        Times are recorded only if no dead letter is open.
+        A file whose texts cannot be embedded keeps its old rows and tree node, becomes a
+        dead letter, and is found changed by the next run; all others go ahead. Rows, tree,
+        cache and dead letters are one version; a full rebuild is written beside the old
+        one, which readers keep. Times are recorded only if no dead letter is open.
         """
         if not self._running.acquire(blocking=False):
             return {"status": "already_running"}
         try:
             self.last_error = None
+            self.progress = {"phase": "hashing", "files": 0, "done": 0}
             self.skipped = self.files.where(F.octet_length("content") > self.settings.max_file_bytes).select("filePath", F.octet_length("content").alias("size"))
-            chunks = self.embed(self.chunk(self.files))
-            if full:
-                result = self.store.rebuild(chunks)
+            hashed = written(self.files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash")))
+            whole = full or not self.store.tables.state.live("tree")
+            if whole:
+                changed, gone = hashed, None
             else:
-                held = self.store.rows().select("filePath").distinct()
-                gone = held.join(self.files.select("filePath"), "filePath", "left_anti")
-                result = self.store.apply(chunks, self.files.select("filePath").unionByName(gone))
+                old = self.store.tree().where("not isDirectory").select("path", "hash")
+                found = written(merkle.diff(old, hashed).where("change <> 'unchanged'"))
+                gone = found.where("change = 'deleted'").select("path")
+                changed = hashed.join(found.where("change <> 'deleted'"), "path", "left_semi")
+            self.progress |= {"files": changed.count()}
+            files = self.files.join(changed.select(F.col("path").alias("filePath")), "filePath", "left_semi")
+            rows, done, changes = self._prepare(files, changed, now)
+            if whole:
+                nodes = merkle.build(done)
+                result = self.store.rebuild(rows, changes=changes | {"tree": self.store.tree_change(nodes, whole=True)}, finish=(now, full))
+            else:
+                upserts, left = merkle.delta(self.store.children(), done, gone)
+                paths = done.select(F.col("path").alias("filePath")).unionByName(gone.select(F.col("path").alias("filePath")))
+                result = self.store.apply(rows, paths, changes=changes | {"tree": self.store.tree_change(upserts, left)}, finish=(now, full))
                 self.store.compact(now, self.settings.compact_threshold)
-            self.tree = merkle.build(self.files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash")))
-            status = self.store.complete(self.dead_letters, now, full)
+            self._trim_letters()
+            self.store.upkeep()
+            status = "incomplete" if self.store.tables.state.live("dead_letters") else "complete"
             self.last_error = self.store.counters.lastError
+            self.progress |= {"phase": "idle", "done": self.progress["files"]}
             self.hook("index", result | {"status": status})
             return result | {"status": status}
         except Exception as failure:
             self.last_error = str(failure)
+            self.progress |= {"phase": "failed"}
             self.store.note(self.last_error)
             raise
         finally:
@@ -208,25 +279,61 @@ class Engine:
             self.apply_events(held.where("released").select(*batch.columns))
         return result | {"followed": "changes"}
 
-    def apply_events(self, batch: DataFrame) -> dict:
+    def apply_events(self, batch: DataFrame, number: tuple[str, int] | None = None) -> dict:
         """A coalesced batch of changes as one version of the store: renames keep their vectors, deletions clear a path
-        and all below it in the rows, the tree and the dead letters, the rest is chunked again."""
-        renames, rest = merkle.apply_renames(batch, self.store.rows())
+        and all below it in the rows, the tree and the dead letters, the rest is chunked again. What is read and written
+        follows the batch and not the store. number: the batch's source and number; one that comes again does nothing."""
+        if number is not None and self.store.tables.state.batches.get(number[0], -1) >= number[1]:
+            return {"renamed": 0, "deleted": 0, "newFiles": 0, "again": True}
+        batch = written(batch)
+        renames, rest = merkle.apply_renames(batch, self.store.rows(among=batch.where("type = 'deleted'").select("filePath")))
+        renames, rest = written(renames), written(rest)
         gone = rest.where("type = 'deleted'").select(F.col("filePath").alias("path")).distinct()
-        changed = rest.where("type <> 'deleted'").select("filePath").distinct()
-        files = self.files.join(changed, "filePath", "left_semi")
-        result = self.store.apply(self.embed(self.chunk(files)), changed, gone, renames)
-        if self.tree is not None:
-            hashed = files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash"))
-            moved = renames.select(F.col("newPath").alias("path"), F.col("contentHash").alias("hash"))
-            left = gone.unionByName(renames.select(F.col("oldPath").alias("path")))
-            self.tree = merkle.update(self.tree, hashed.unionByName(moved), left)
-        if self.dead_letters is not None:
-            self.dead_letters = dead_letters.remove_all(self.dead_letters, gone)
-        return {"renamed": renames.count()} | result
+        changed = rest.where("type not in ('deleted', 'reindex')").select("filePath").distinct()
+        files = written(self.files.join(changed, "filePath", "left_semi"))
+        hashed = files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash"))
+        rows, done, changes = self._prepare(files, hashed, None)
+        moves = renames.select("oldPath", "newPath")
+        upserts, left = merkle.delta(self.store.children(), done, gone, moves)
+        cleared = self.store.dead_letters().join(dead_letters.remove_all(self.store.dead_letters(), gone), "filePath", "left_anti").select("filePath")
+        letters = changes.get("dead_letters", Change())
+        changes |= {"tree": self.store.tree_change(upserts, left), "dead_letters": Change(letters.rows, cleared)}
+        missing = changed.join(files.select("filePath"), "filePath", "left_anti")
+        affected = done.select(F.col("path").alias("filePath")).unionByName(missing)
+        result = self.store.apply(rows, affected, gone, moves, changes, number)
+        self._trim_letters()
+        self.store.upkeep()
+        return {"renamed": renames.count()} | (result or {"deleted": 0, "newFiles": 0, "again": True})
+
+    def sweep(self, now: str) -> dict:
+        """The recovery sweep: expired entries and those of changed or missing files go, the others' files are indexed
+        again; those that work go, those that fail keep one attempt more, and with their last attempt they go too. With
+        the embedder down nothing but expiry happens."""
+        when = F.lit(now).cast("timestamp")
+        entries = self.dead_letters
+        paths = entries.select("filePath")
+        files = self.files.join(paths, "filePath", "left_semi")
+        hashed = written(files.select("filePath", content_hash(F.col("content")).alias("contentHash")))
+        try:
+            healthy = bool(self.health())
+        except Exception:
+            healthy = False
+        tried = dead_letters.sweep(entries, hashed, when, healthy=healthy).where("outcome = 'retried'").select("filePath")
+        files = written(files.join(tried, "filePath", "left_semi"))
+        rows, fresh, failed = self._embed(written(self.chunk(files)))
+        results = files.select("filePath").join(failed.select("filePath", F.lit(True).alias("bad")), "filePath", "left").select("filePath", F.col("bad").isNull().alias("ok"))
+        swept = written(dead_letters.sweep(entries, hashed, when, results, healthy))
+        kept = dead_letters.after_sweep(swept.where("outcome = 'kept'"), when)
+        away = swept.where("outcome in ('purged', 'retried', 'abandoned')").select("filePath")
+        good = hashed.join(results.where("ok"), "filePath", "left_semi").select(F.col("filePath").alias("path"), F.col("contentHash").alias("hash"))
+        upserts, left = merkle.delta(self.store.children(), good)
+        changes = {"cache": Change(fresh), "tree": self.store.tree_change(upserts, left), "dead_letters": Change(kept, away)}
+        self.store.apply(rows, good.select(F.col("path").alias("filePath")), changes=changes)
+        self.hook("sweep", counts := dead_letters.tallies(swept).first().asDict())
+        return counts
 
     def drain(self, batch: DataFrame) -> tuple[DataFrame | None, Exception | None]:
-        """Applies a queue's events in windows of files; see operators.events.drain."""
+        """Applies a queue's events, reindex requests first, then all changes as one version; see operators.events.drain."""
 
         def run(part: DataFrame) -> None:
             if part.where("type = 'reindex'").isEmpty():
@@ -234,4 +341,4 @@ class Engine:
             else:
                 self.reindex()
 
-        return events.drain(batch, run, self.settings.window_files)
+        return events.drain(batch, run)

@@ -1,20 +1,7 @@
-"""The folder for intermediate tables: what the cluster names in spark.checkpoint.dir; in one process a local one."""
+"""The folder for intermediate tables (see loomdex.scratch)."""
 
 from __future__ import annotations
 
-import tempfile
+from loomdex.scratch import shared_dir
 
-from pyspark.sql import SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        given = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='loomdex-')}") if app not in _own else _own[app]
-    return given.rstrip("/")
+__all__ = ["shared_dir"]

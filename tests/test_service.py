@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomdex import schemas
 from loomdex.functions import globs, limits, vectors
 from loomdex.operators import events, metrics
-from loomdex.operators.store import ChunkStore
+from loomdex.operators.store import Change, ChunkStore
 from loomdex.plans.engine import Engine, Settings
 
 
@@ -85,12 +85,13 @@ def chunk_rows(spark, rows):
 
 
 def test_store_versions(spark, tmp_path):
-    s = ChunkStore(spark, str(tmp_path / "s"), 2)
-    s.rebuild(chunk_rows(spark, [(f"f{i}:1", f"f{i}", "x") for i in range(20)]))
-    other = ChunkStore(spark, str(tmp_path / "s"), 2)
-    before = dict(s.counters.buckets)
+    s = ChunkStore(spark, str(tmp_path / "s"), 2, capacity=4)
+    s.rebuild(chunk_rows(spark, [(f"f{i}:1", f"f{i}", "x") for i in range(20)]), expected=20)
+    other = ChunkStore(spark, str(tmp_path / "s"), 2, capacity=4)
+    before = {b: list(h["parts"]) for b, h in s.tables.buckets("chunks").items()}
+    assert len(before) == 8
     s.upsert(chunk_rows(spark, [("f3:9", "f3", "y")]))
-    assert sum(before[b] != s.counters.buckets.get(b) for b in before) == 1  # only that file's bucket
+    assert sum(before[b] != h["parts"] for b, h in s.tables.buckets("chunks").items()) == 1  # only that file's bucket
     assert other.rows().count() == 20  # a reader keeps its version
     with pytest.raises(RuntimeError):
         other.upsert(chunk_rows(spark, [("f4:9", "f4", "y")]))
@@ -98,15 +99,17 @@ def test_store_versions(spark, tmp_path):
     assert {r.id for r in other.rows(["f3", "f5"]).collect()} == {"f3:9", "f5:1"}
     for i in range(4):
         s.upsert(chunk_rows(spark, [(f"f0:{i}", "f0", "y")]))
-    held = {f.split("/")[0] for fs in s.counters.buckets.values() for f in fs}
-    assert len([n for n in s.folder.names() if n.startswith("v-")]) <= len(held) + 2
     assert s.compact_when_idle("t", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 1)) is None
     assert s.compact_when_idle("t", datetime(2024, 1, 1), datetime(2024, 1, 2), force=True)["compacted"] and s.stats()["totalFiles"] == 20
+    s.tables.keep_seconds = 0
+    s.tables.expire()
+    held = {x[0].split("/")[0] for h in s.tables.buckets("chunks").values() for x in h["parts"]}
+    assert {n for n in s.tables.folder.names() if n.startswith("d-")} == held and s.rows().count() == 20
 
 
 def engine(spark, tmp_path, **more):
     files = spark.createDataFrame([("a.txt", "text", "one find"), ("d/b.txt", "text", "two find"), ("d/c.txt", "text", "x" * 50)], schemas.FILES)
-    return Engine(spark, files, ChunkStore(spark, str(tmp_path / "s"), 64), Settings(max_file_bytes=20), cache=spark.createDataFrame([], schemas.EMBEDDING_CACHE), **more)
+    return Engine(spark, files, ChunkStore(spark, str(tmp_path / "s"), 64), Settings(max_file_bytes=20), **more)
 
 
 def test_a_failing_leg_is_empty(spark, tmp_path):
@@ -123,7 +126,7 @@ def test_completion_and_deletion(spark, tmp_path):
     e = engine(spark, tmp_path)
     e.reindex(now="t1")
     entry = spark.createDataFrame([("i", "d/b.txt", "c", "m", 3, 1, None, None, None)], schemas.DEAD_LETTERS)
-    e.dead_letters = entry
+    e.store.tables.commit({"dead_letters": Change(entry)})
     assert e.reindex(now="t2")["status"] == "incomplete" and e.store.counters.lastIndexedAt == "t1" and e.index_status()["lastError"] == "1 files failed to index"
     e.apply_events(spark.createDataFrame([(1, "deleted", "d", None)], "seq long, type string, filePath string, contentHash string"))
     assert [r.filePath for r in e.store.rows().collect()] == ["a.txt"] and e.dead_letters.count() == 0

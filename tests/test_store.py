@@ -116,7 +116,7 @@ def test_cache_and_dead_letters(spark):
 
 def test_engine(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "python", "import os\n\n\ndef find(x):\n    return x\n"), ("b.txt", "text", "hello find me")], "filePath string, language string, content string")
-    e = Engine(spark, files, ChunkStore(spark, str(tmp_path / "s"), 64), Settings(), cache=spark.createDataFrame([], schemas.EMBEDDING_CACHE))
+    e = Engine(spark, files, ChunkStore(spark, str(tmp_path / "s"), 64), Settings())
     assert e.reindex()["status"] == "complete"
     assert e.index_status()["totalFiles"] == 2 and e.index_status()["totalChunks"] == 3
     assert e.semantic_search("hello find me", 1).first().filePath == "b.txt"
