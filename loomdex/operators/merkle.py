@@ -108,20 +108,24 @@ def delta(children: Children, changed: DataFrame, removed: DataFrame | None = No
     contain those below, so it grows by the depth at most. Folders without children go.
     """
     spark = changed.sparkSession
-    clean = lambda c: F.regexp_replace(c, "/+$", "")
-    nothing = spark.createDataFrame([], "path string")
-    moved = written((moves if moves is not None else spark.createDataFrame([], "oldPath string, newPath string")).select(clean("oldPath").alias("oldPath"), clean("newPath").alias("newPath")).where("oldPath <> newPath").distinct())
-    lost = (removed.select(clean("path").alias("path")) if removed is not None else nothing).distinct()
-    roots = lost.unionByName(moved.select(F.col("oldPath").alias("path"))).distinct()
-    # The named nodes themselves are children of their folders.
-    named = children(roots.select(_top(F.col("path")))).join(roots, "path", "left_semi").withColumn("root", F.col("path"))
-    gone = written(named.select(*NODES, "root").unionByName(expand(roots, children)))
-    came = gone.where("not isDirectory").join(moved.withColumnRenamed("oldPath", "root"), "root")
-    came = came.select(F.concat("newPath", F.expr("substring(path, length(root) + 1)")).alias("path"), "hash")
-    if removed is not None:
-        came = delete_subtrees(came, lost)
-    new = changed.select("path", "hash").withColumn("__age", F.lit(1)).unionByName(came.withColumn("__age", F.lit(0)))
-    files = written(new.groupBy("path").agg(F.max_by("hash", "__age").alias("hash")).select("path", "hash", _top(F.col("path")).alias("parentPath"), F.lit(False).alias("isDirectory")))
+    parent = _top(F.col("path")).alias("parentPath")
+    if removed is None and moves is None:
+        gone = spark.createDataFrame([], "path string, hash string, parentPath string, isDirectory boolean, root string")
+        files = written(changed.select("path", "hash", parent, F.lit(False).alias("isDirectory")).dropDuplicates(["path"]))
+    else:
+        clean = lambda c: F.regexp_replace(c, "/+$", "")
+        moved = written((moves if moves is not None else spark.createDataFrame([], "oldPath string, newPath string")).select(clean("oldPath").alias("oldPath"), clean("newPath").alias("newPath")).where("oldPath <> newPath").distinct())
+        lost = (removed.select(clean("path").alias("path")) if removed is not None else spark.createDataFrame([], "path string")).distinct()
+        roots = lost.unionByName(moved.select(F.col("oldPath").alias("path"))).distinct()
+        # The named nodes themselves are children of their folders.
+        named = children(roots.select(_top(F.col("path")))).join(roots, "path", "left_semi").withColumn("root", F.col("path"))
+        gone = written(named.select(*NODES, "root").unionByName(expand(roots, children)))
+        came = gone.where("not isDirectory").join(moved.withColumnRenamed("oldPath", "root"), "root")
+        came = came.select(F.concat("newPath", F.expr("substring(path, length(root) + 1)")).alias("path"), "hash")
+        if removed is not None:
+            came = delete_subtrees(came, lost)
+        new = changed.select("path", "hash").withColumn("__age", F.lit(1)).unionByName(came.withColumn("__age", F.lit(0)))
+        files = written(new.groupBy("path").agg(F.max_by("hash", "__age").alias("hash")).select("path", "hash", parent, F.lit(False).alias("isDirectory")))
     touched = files.select("path").unionByName(gone.where("path = root").select("path"))
     dirty = written(touched.select(F.explode(text.ancestors(F.col("path"))).alias("path")).distinct().withColumn("depth", depth(F.col("path"))))
     away = gone.select("path").unionByName(files.select("path")).unionByName(dirty.select("path"))
@@ -138,7 +142,7 @@ def delta(children: Children, changed: DataFrame, removed: DataFrame | None = No
 
 def update(nodes: DataFrame, changed: DataFrame, removed: DataFrame | None = None, digest: str = "xxh64", moves: DataFrame | None = None) -> DataFrame:
     """The tree after ``delta``'s changes, as one table; only folders above them are hashed again."""
-    upserts, gone = delta(children_in(nodes), changed, removed, moves, digest)
+    upserts, gone = map(written, delta(children_in(nodes), changed, removed, moves, digest))
     stays = nodes.select(*NODES).join(upserts.select("path").unionByName(gone.select("path")), "path", "left_anti")
     return stays.unionByName(upserts)
 

@@ -120,6 +120,8 @@ class Change:
     gone: DataFrame | None = None
     #: All older rows go.
     whole: bool = False
+    #: No older row has a key of these rows, so none is looked for.
+    fresh: bool = False
     #: Rows to expect, for a table's first depth; more or fewer do no harm.
     expected: int = 0
 
@@ -331,7 +333,10 @@ class Tables:
         placed = rows.withColumn(BUCKET, bucket_of(F.col(by), buckets))
         # Rebalance keeps a bucket together but splits one that is too large for a task.
         placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.root}/{name}")
-        return name, [n.split("=")[1] for n in self.folder.names(name) if n.startswith(f"{BUCKET}=")]
+        found = [n.split("=")[1] for n in self.folder.names(name) if n.startswith(f"{BUCKET}=")]
+        if not found:
+            self.folder.delete(name)
+        return name, found
 
     def _sized(self, name: str, folder: str, schema: str, found: list[str]) -> dict[str, int]:
         """Rows of each bucket of a written folder, from its files alone."""
@@ -354,25 +359,25 @@ class Tables:
         came, written = {}, None
         if change.rows is not None:
             folder, found = self._write(change.rows.select(*self._empty(spec.schema).columns).withColumn(SEQ, F.lit(version).cast("long")), spec.by, held)
-            folders.append(folder)
+            folders += [folder] if found else []
             came = self._sized(name, folder, f"{spec.schema}, {SEQ} bigint", found)
             edits += [{"table": name, "bucket": b, "parts": [[f"{folder}/{BUCKET}={b}", n]]} for b, n in came.items()]
             written = self._load(spec.schema, [f"{folder}/{BUCKET}={b}" for b in came])
         wanted = list(dict.fromkeys((spec.key, spec.by)))
-        keys = [x.select(*wanted) for x in (written, change.gone) if x is not None and (x is not written or came)]
+        keys = [x.select(*wanted) for x in (None if change.fresh else written, change.gone) if x is not None and (x is not written or came)]
         tally = {"came": sum(came.values()), "dead": 0, "keys": 0, "new": 0, "left": 0}
         if change.whole:
             tally |= {"dead": self.state.live(name), "keys": written.select(spec.key).distinct().count() if came else 0}
             return edits, tally | {"new": tally["keys"]}, folders
         if not keys:
-            return edits, tally, folders
+            return edits, tally | {"new": written.select(spec.key).distinct().count() if came else 0}, folders
         asked = keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1])
         asked = asked.groupBy(*wanted).agg(F.lit(True).alias("asked"))
         touched = self._touched(name, asked.select(spec.by), self.state)
         old = self.read(name, buckets=touched).select(*wanted) if any(held[b]["parts"] for b in touched) else self._empty(", ".join(f"{c} string" for c in wanted))
         hit = old.join(asked.select(spec.key), spec.key, "left_semi").groupBy(*wanted).agg(F.count("*").alias("n")).withColumn(SEQ, F.lit(version).cast("long"))
         folder, found = self._write(hit, spec.by, held)
-        folders.append(folder)
+        folders += [folder] if found else []
         stays = (written.select(spec.key).distinct() if came else self._empty(f"{spec.key} string")).withColumn("stays", F.lit(1))
         if found:
             dead = self.spark.read.schema(f"{spec.key} string, n bigint, {SEQ} bigint, {BUCKET} string").parquet(f"{self.root}/{folder}")

@@ -184,7 +184,8 @@ class Engine:
             made = written(embedding.embed(missed, how))
         else:
             made = written(missed.select("hash", how(F.col("content")).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts")))
-        failed = written(embedding.failed_files(chunks, made))
+        none = not isinstance(how, embedding.Batches) or made.where("error is not null").isEmpty()
+        failed = self.spark.createDataFrame([], "filePath string, errorMessage string, attempts int") if none else written(embedding.failed_files(chunks, made))
         new = made.where("error is null").select("hash", F.col("vector").alias("__new"))
         ready = known.join(new, "hash", "left").withColumn("vector", F.coalesce("vector", "__new")).drop("__new").join(failed.select("filePath"), "filePath", "left_anti")
         fresh = new.select("hash", F.col("__new").alias("vector"), F.size("__new").alias("dimensions"), F.current_timestamp().alias("createdAt"))
@@ -201,7 +202,7 @@ class Engine:
             F.sha2(F.concat("filePath", F.lit(":"), F.coalesce("hash", F.lit(""))), 256).alias("id"), "filePath", F.col("hash").alias("contentHash"), "errorMessage", "attempts",
             F.lit(0).alias("recoveryAttempts"), when.alias("createdAt"), when.alias("updatedAt"), F.lit(None).cast("timestamp").alias("lastRetryAt"),
         )
-        changes = {"cache": Change(fresh)}
+        changes = {"cache": Change(fresh, fresh=True)}
         if not failed.isEmpty():
             held = self.store.tables.read("dead_letters", entries.select("filePath"))
             changes["dead_letters"] = Change(dead_letters.enqueue(held, entries.select(*held.columns)))
@@ -286,24 +287,29 @@ class Engine:
         if number is not None and self.store.tables.state.batches.get(number[0], -1) >= number[1]:
             return {"renamed": 0, "deleted": 0, "newFiles": 0, "again": True}
         batch = written(batch)
-        renames, rest = merkle.apply_renames(batch, self.store.rows(among=batch.where("type = 'deleted'").select("filePath")))
-        renames, rest = written(renames), written(rest)
-        gone = rest.where("type = 'deleted'").select(F.col("filePath").alias("path")).distinct()
+        kinds = {r.type for r in batch.select("type").distinct().collect()}  # a handful
+        gone = moves = cleared = None
+        rest = batch
+        if "deleted" in kinds:
+            renames, rest = merkle.apply_renames(batch, self.store.rows(among=batch.where("type = 'deleted'").select("filePath")))
+            moves, rest = written(renames.select("oldPath", "newPath")), written(rest)
+            gone = rest.where("type = 'deleted'").select(F.col("filePath").alias("path")).distinct()
+            if self.store.tables.state.live("dead_letters"):
+                cleared = self.dead_letters.join(dead_letters.remove_all(self.dead_letters, gone), "filePath", "left_anti").select("filePath")
         changed = rest.where("type not in ('deleted', 'reindex')").select("filePath").distinct()
         files = written(self.files.join(changed, "filePath", "left_semi"))
         hashed = files.select(F.col("filePath").alias("path"), content_hash(F.col("content")).alias("hash"))
         rows, done, changes = self._prepare(files, hashed, None)
-        moves = renames.select("oldPath", "newPath")
         upserts, left = merkle.delta(self.store.children(), done, gone, moves)
-        cleared = self.store.dead_letters().join(dead_letters.remove_all(self.store.dead_letters(), gone), "filePath", "left_anti").select("filePath")
-        letters = changes.get("dead_letters", Change())
-        changes |= {"tree": self.store.tree_change(upserts, left), "dead_letters": Change(letters.rows, cleared)}
+        changes["tree"] = self.store.tree_change(upserts, left)
+        if cleared is not None:
+            changes["dead_letters"] = Change(changes.get("dead_letters", Change()).rows, cleared)
         missing = changed.join(files.select("filePath"), "filePath", "left_anti")
         affected = done.select(F.col("path").alias("filePath")).unionByName(missing)
         result = self.store.apply(rows, affected, gone, moves, changes, number)
         self._trim_letters()
         self.store.upkeep()
-        return {"renamed": renames.count()} | (result or {"deleted": 0, "newFiles": 0, "again": True})
+        return {"renamed": 0 if moves is None else moves.count()} | (result or {"deleted": 0, "newFiles": 0, "again": True})
 
     def sweep(self, now: str) -> dict:
         """The recovery sweep: expired entries and those of changed or missing files go, the others' files are indexed
@@ -327,7 +333,7 @@ class Engine:
         away = swept.where("outcome in ('purged', 'retried', 'abandoned')").select("filePath")
         good = hashed.join(results.where("ok"), "filePath", "left_semi").select(F.col("filePath").alias("path"), F.col("contentHash").alias("hash"))
         upserts, left = merkle.delta(self.store.children(), good)
-        changes = {"cache": Change(fresh), "tree": self.store.tree_change(upserts, left), "dead_letters": Change(kept, away)}
+        changes = {"cache": Change(fresh, fresh=True), "tree": self.store.tree_change(upserts, left), "dead_letters": Change(kept, away)}
         self.store.apply(rows, good.select(F.col("path").alias("filePath")), changes=changes)
         self.hook("sweep", counts := dead_letters.tallies(swept).first().asDict())
         return counts
