@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomdex.functions.text import escape_label
+from loomdex.scratch import written
 
 #: Upper bounds of the duration, batch and result histograms.
 DURATION_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -21,6 +22,29 @@ def counter_delta(samples: DataFrame, series: Sequence[str], ts: str = "ts", val
     return samples.withColumn("delta", F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before))
 
 
+def counter_delta_ranged(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value", order: Sequence[str] = ()) -> DataFrame:
+    """As ``counter_delta``, for series that may hold most of the samples.
+
+    Samples are dealt by ranges of series and time, so a long series is many tasks; each
+    looks back within its range, and a row for each range and series carries its last value
+    to the next range. Writes the dealt samples once, so that all steps see the same ranges.
+    """
+    place = "__part"
+    dealt = written(samples.repartitionByRange(*series, ts, *order).withColumn(place, F.spark_partition_id()))
+    inside = Window.partitionBy(place, *series).orderBy(ts, *order)
+    ends = dealt.groupBy(place, *series).agg(F.max_by(value, F.struct(ts, *order)).alias("__end"))
+    # As many rows as there are ranges and series; of one series no more than ranges.
+    carried = ends.withColumn("__carry", F.lag("__end").over(Window.partitionBy(*series).orderBy(place)))
+    keys = [place, *series]
+    carried = carried.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__carry")
+    marked = dealt.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__before", F.lag(value).over(inside))
+    first = marked.where("__first").join(carried, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], "left").withColumn("__before", F.col("__carry"))
+    every = marked.where("not __first").unionByName(first.select(*marked.columns))
+    before = F.col("__before")
+    delta = F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before)
+    return every.select(*samples.columns, delta.alias("delta"))
+
+
 def increase(deltas: DataFrame, by: Sequence[str], window: str = "1 hour", ts: str = "ts") -> DataFrame:
     return deltas.groupBy(F.window(ts, window)["start"].alias("start"), *by).agg(F.sum("delta").alias("increase"))
 

@@ -103,10 +103,14 @@ def _(spark, d):
 # ---------------------------------------------------------------- queues
 
 
-def queue_events(spark, d):
+def queue_rows(events):
     n = F.col("event_id")
     kind = F.when(n % 97 == 0, "scan_started").when(n % 97 == 40, "scan_finished").when(n % 31 == 0, "drained").otherwise("modified")
-    return table(spark, d, "events").select((n % 16).alias("queue"), n.alias("seq"), kind.alias("type"), (n % 61).cast("string").alias("filePath"))
+    return events.select((n % 16).alias("queue"), n.alias("seq"), kind.alias("type"), (n % 61).cast("string").alias("filePath"))
+
+
+def queue_events(spark, d):
+    return queue_rows(table(spark, d, "events"))
 
 
 MACHINE = """WITH RECURSIVE e AS (SELECT event_id % 16 AS queue, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'scan_started' WHEN event_id % 97 = 40 THEN 'scan_finished' WHEN event_id % 31 = 0 THEN 'drained' ELSE 'modified' END AS type, CAST(event_id % 61 AS VARCHAR) AS p, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS i FROM events),

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import vectors
-from loomdex.operators import chunking, embedding, merkle, store
-from loomdex.plans.catalog import CHUNKS, DIFF, FILES, files, query, snapshots
+from loomdex.operators import chunking, embedding, merkle, metrics, store, trigrams
+from loomdex.plans.catalog import CHUNKS, DIFF, FILES, GREP, files, query, samples, snapshots
 from loomdex.plans.engine import Engine, Settings
 from loomdex.plans.service import TREE_FILES, tree_files
-from loomdex.scratch import shared_dir
+from loomdex.scratch import shared_dir, written
 
 NAMED = "content IS NOT NULL AND \"filePath\" IS NOT NULL"
 
@@ -183,11 +183,40 @@ def fed(spark: SparkSession, d: str) -> Engine:
     return engine
 
 
-@query("q_feed_tree", f"{FEED} SELECT path FROM fed")
+@query("q_feed", f"{FEED} SELECT path, true AS in_tree, max(n.content <> '' OR n.language = 'de') AS in_rows FROM fed f JOIN named n ON f.path = n.\"filePath\" OR f.path = 'moved/' || n.\"filePath\" GROUP BY 1")
 def _(spark, d):
-    return fed(spark, d).tree.where("not isDirectory").select("path")
+    """The files that the tree and the rows hold after the feed."""
+    engine = fed(spark, d)
+    nodes = engine.tree.where("not isDirectory").select("path", F.lit(True).alias("in_tree"))
+    rows = engine.store.rows().select(F.col("filePath").alias("path"), F.lit(True).alias("in_rows")).distinct()
+    return nodes.join(rows, "path", "full_outer").na.fill(False)
 
 
-@query("q_feed_rows", f"{FEED} SELECT DISTINCT f.path AS \"filePath\" FROM fed f JOIN named n ON f.path = n.\"filePath\" OR f.path = 'moved/' || n.\"filePath\" WHERE n.content <> '' OR n.language = 'de'")
+# ---------------------------------------------------------------- searches and series
+
+
+def signed(spark: SparkSession, d: str) -> DataFrame:
+    """The files' signatures, stored once."""
+    return written(trigrams.signatures(files(spark, d).where("filePath is not null")))
+
+
+@query("q_grep_indexed", GREP.format("regexp_matches(\"lineText\", '(th|er)[aeiou]nd [a-z]+ing', 'i')", 50))
+def _(spark, d):
+    return trigrams.grep(files(spark, d), signed(spark, d), "(th|er)[aeiou]nd [a-z]+ing", max_results=50).select("filePath", "lineNumber", "lineText")
+
+
+@query("q_grep_indexed_literal", GREP.format("contains(lower(\"lineText\"), 'ingly the')", 100))
+def _(spark, d):
+    return trigrams.grep(files(spark, d), signed(spark, d), "INGLY the", fixed=True).select("filePath", "lineNumber", "lineText")
+
+
+@query("q_counter_delta_hot", "SELECT event_id, round(CASE WHEN lag(value) OVER w IS NULL OR value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END, 6) AS delta FROM events WINDOW w AS (ORDER BY ts, event_id)")
+def _(spark, d):
+    """All events as one series."""
+    one = samples(spark, d).withColumn("series", F.lit("all"))
+    return metrics.counter_delta_ranged(one, ["series"], order=["event_id"]).select("event_id", F.round("delta", 6).alias("delta"))
+
+
+@query("q_counter_delta_ranged", "SELECT event_id, round(CASE WHEN lag(value) OVER w IS NULL OR value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END, 6) AS delta FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def _(spark, d):
-    return fed(spark, d).store.rows().select("filePath").distinct()
+    return metrics.counter_delta_ranged(samples(spark, d), ["event_type"], order=["event_id"]).select("event_id", F.round("delta", 6).alias("delta"))
