@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import vectors
-from loomdex.operators import chunking, embedding, merkle, metrics, store, trigrams
-from loomdex.plans.catalog import CHUNKS, DIFF, FILES, GREP, files, query, samples, snapshots
+from loomdex.operators import chunking, embedding, merkle, metrics, near, store, trigrams
+from loomdex.plans.catalog import CHUNKS, DIFF, FILES, GREP, QUERY_TEXT, SEMANTIC, chunks, files, query, samples, snapshots
 from loomdex.plans.engine import Engine, Settings
 from loomdex.plans.service import TREE_FILES, tree_files
 from loomdex.scratch import shared_dir, written
@@ -220,3 +220,10 @@ def _(spark, d):
 @query("q_counter_delta_ranged", "SELECT event_id, round(CASE WHEN lag(value) OVER w IS NULL OR value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END, 6) AS delta FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def _(spark, d):
     return metrics.counter_delta_ranged(samples(spark, d), ["event_type"], order=["event_id"]).select("event_id", F.round("delta", 6).alias("delta"))
+
+
+@query("q_semantic_indexed", f'{SEMANTIC} SELECT id, "filePath", "startLine", "endLine", round(score, 9) AS score FROM scored ORDER BY scored.score DESC, "filePath", id LIMIT 20')
+def _(spark, d):
+    index = near.build(chunks(spark, d), f"{shared_dir(spark)}/near-{uuid.uuid4().hex}")
+    found, _ = index.search(vectors.embed_query(QUERY_TEXT), 20)
+    return found.select("id", "filePath", "startLine", "endLine", F.round("score", 9).alias("score"))

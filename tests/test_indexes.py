@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex import schemas
-from loomdex.operators import chunking, events, metrics, search, trigrams
+from loomdex.operators import chunking, events, metrics, near, search, trigrams
 from loomdex.plans import streams
 from loomdex.streaming import events as live
 
@@ -155,3 +155,42 @@ def test_a_queue_left_in_overflow_asks_for_a_scan(spark, tmp_path):
     assert (row.queue, row.state) == ("q", "overflow")
     with pytest.raises(ValueError):
         live.machine_stream(source, 3, 4)
+
+
+# ---------------------------------------------------------------- nearest rows
+
+
+def clustered(spark, n=3000, clusters=30, dim=16):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(clusters, dim))
+    made = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dim)) * 0.15
+    rows = [(f"id{i}", f"p{i % 7}", [float(np.float32(x)) for x in v]) for i, v in enumerate(made)]
+    rows += [("zero", "p0", [0.0] * dim), ("null", "p0", None), ("twin", "p9", rows[5][2])]
+    return spark.createDataFrame(rows, "id string, filePath string, vector array<float>"), made, centres
+
+
+def test_nearest_rows_by_pivots(spark, tmp_path):
+    rows, made, centres = clustered(spark)
+    index = near.build(rows, str(tmp_path / "near"), pivots=40, sample=800)
+    opened = []
+    for query in (made[5].tolist(), centres[3].tolist(), (-centres[0]).tolist(), [0.0] * 15 + [1.0], [0.0] * 16):
+        for k in (1, 10):
+            got, report = index.search(query, k)
+            assert got.collect() == search.knn(rows, query, k).collect()
+            assert report.of_rows == 3003 and report.rows == sum(index.spans[p][0] for p in report.opened)
+        opened.append(report.rows / report.of_rows)
+    assert opened[0] < 0.3 and opened[1] < 0.3  # near a cluster only its buckets are read
+    got, _ = index.search(made[5].tolist(), 10, F.col("filePath") == "p3")
+    assert got.collect() == search.knn(rows.where("filePath = 'p3'"), made[5].tolist(), 10).collect()
+    everything, report = index.search(made[5].tolist(), 4000)
+    assert everything.count() == 3003 and len(report.opened) == len(index.spans)
+
+
+def test_nearest_rows_of_little(spark, tmp_path):
+    rows, _, _ = clustered(spark, 20, 2)
+    empty = near.build(rows.limit(0), str(tmp_path / "a"))
+    assert empty.search([1.0] * 16, 3)[0].count() == 0
+    nothing = near.build(rows.where("id in ('zero', 'null')"), str(tmp_path / "b"))
+    assert [r.id for r in nothing.search([1.0] * 16, 3)[0].collect()] == ["zero", "null"]
+    same = near.build(rows.withColumn("vector", F.lit([1.0] * 16).cast("array<float>")), str(tmp_path / "c"))
+    assert same.search([1.0] * 16, 5)[0].select("filePath").collect() == search.knn(rows.withColumn("vector", F.lit([1.0] * 16)), [1.0] * 16, 5).select("filePath").collect()
