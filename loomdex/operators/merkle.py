@@ -214,7 +214,7 @@ def reconciliation(changes: DataFrame) -> DataFrame:
 
 def rename_pairs(events: DataFrame) -> DataFrame:
     """(oldPath, newPath, contentHash, oldSeq, newSeq): the k-th deletion with a hash and the k-th addition with it."""
-    w = Window.partitionBy("contentHash", "type").orderBy("seq")
+    w = Window.partitionBy("contentHash", "type").orderBy("seq", "filePath")
     known = events.where(F.col("contentHash").isNotNull() & (F.col("contentHash") != "") & F.col("type").isin("deleted", "added")).withColumn("k", F.row_number().over(w))
     gone = known.where("type = 'deleted'").select("contentHash", "k", F.col("filePath").alias("oldPath"), F.col("seq").alias("oldSeq"))
     come = known.where("type = 'added'").select("contentHash", "k", F.col("filePath").alias("newPath"), F.col("seq").alias("newSeq"))
@@ -225,5 +225,6 @@ def apply_renames(events: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
     """(renames whose old path the store holds, events that no such rename used up)."""
     pairs = rename_pairs(events)
     usable = pairs.join(chunks.select(F.col("filePath").alias("oldPath")).distinct(), "oldPath", "left_semi")
-    used = usable.select(F.explode(F.array("oldSeq", "newSeq")).alias("seq"))
-    return usable, events.join(used, "seq", "left_anti")
+    ends = F.array(*[F.struct(F.col(f"{side}Seq").alias("seq"), F.col(f"{side}Path").alias("filePath")) for side in ("old", "new")])
+    used = usable.select(F.explode(ends).alias("x")).select("x.seq", "x.filePath")
+    return usable, events.join(used, ["seq", "filePath"], "left_anti").select(*events.columns)
