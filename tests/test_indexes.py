@@ -194,3 +194,19 @@ def test_nearest_rows_of_little(spark, tmp_path):
     assert [r.id for r in nothing.search([1.0] * 16, 3)[0].collect()] == ["zero", "null"]
     same = near.build(rows.withColumn("vector", F.lit([1.0] * 16).cast("array<float>")), str(tmp_path / "c"))
     assert same.search([1.0] * 16, 5)[0].select("filePath").collect() == search.knn(rows.withColumn("vector", F.lit([1.0] * 16)), [1.0] * 16, 5).select("filePath").collect()
+
+
+def test_silent_nodes_are_evicted(spark, tmp_path):
+    """a is silent after the first batch and evicted by the watermark that b's rows move; b has a gap of its own."""
+    from datetime import datetime, timedelta
+
+    began = datetime(2024, 1, 1)
+    seen = [[("a", "n1", 0), ("a", "n2", 5), ("b", "m", 3)], [("b", "m", 10), ("b", "m", 40), ("c", "o", 41)], [("b", "m", 45)]]
+    schema = "port string, node string, seenAt timestamp"
+    for batch in seen:
+        spark.createDataFrame([(p, n, began + timedelta(seconds=s)) for p, n, s in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.with_state_store(spark, lambda: live.replay(spark, live.liveness_stream(source, 15)))
+    at = lambda s: began + timedelta(seconds=s)
+    assert sorted(map(tuple, got.collect())) == [("a", "n2", at(5), at(20)), ("b", "m", at(10), at(25))]
