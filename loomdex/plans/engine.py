@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.functions import globs, limits, vectors
+from loomdex.functions import globs, limits, text, vectors
 from loomdex.functions.hashing import content_hash
 from loomdex.operators import chunking, context, dead_letters, embedding, events, merkle, search
 from loomdex.operators.store import ChunkStore, cache_lookup, cache_misses
@@ -152,7 +152,14 @@ class Engine:
         clean = globs.check_glob(path)
         if clean.startswith("/"):
             raise globs.PathTraversalError(f"path leaves the root: {path}")
-        return context.get_context(self.files.where(F.col("filePath") == clean), start, end, mode == "deferred")
+        held = self.files.where(F.col("filePath") == clean)
+        if start is not None and end is not None and start > end:
+            # Both are cut to the file first, so a start behind its end is wrong only inside the file.
+            found = held.select(F.size(text.lines(F.col("content"))).alias("n")).first()
+            low, high = (max(1, min(x, found.n)) for x in (start, end)) if found else (0, 0)
+            if low > high:
+                raise limits.InvalidArgument(f"Invalid line range: startLine ({low}) is greater than endLine ({high})")
+        return context.get_context(held, start, end, mode == "deferred")
 
     def index_status(self) -> dict:
         open_ = self.store.tables.state.live("dead_letters")

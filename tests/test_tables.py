@@ -365,3 +365,11 @@ def test_embedding_by_column_still_works(spark, tmp_path):
     files = spark.createDataFrame([("a", "text", "one")], schemas.FILES)
     e = Engine(spark, files, ChunkStore(spark, str(tmp_path / "s"), 64), Settings(), (vectors.embed_sha256, vectors.embed_query))
     assert e.reindex()["status"] == "complete" and e.semantic_search("one", 1).first().score == pytest.approx(1.0)
+
+
+def test_a_range_that_ends_before_it_starts(spark, tmp_path):
+    e = engine(spark, tmp_path / "s", {"a": "1\n2\n3"})
+    assert e.get_context("a", 2, 3).first().content == "2\n3" and e.get_context("a", 9, 7).first().content == "3"
+    with pytest.raises(ValueError, match=r"Invalid line range: startLine \(3\) is greater than endLine \(2\)"):
+        e.get_context("a", 9, 2)
+    assert e.get_context("none", 3, 1).count() == 0
