@@ -149,7 +149,7 @@ def _(spark, d):
     return engine.store.rows().select("id")
 
 
-@query("q_recovery_sweep", f"{REFUSED} SELECT count(*) FILTER (NOT starts_with(\"filePath\", 'src1/')) AS retried, count(*) FILTER (starts_with(\"filePath\", 'src1/')) AS purged, 0 AS skipped, 0 AS abandoned FROM bad")
+@query("q_recovery_sweep", f"{REFUSED} SELECT count(*) FILTER (NOT starts_with(\"filePath\", 'src1/')) AS retried, count(*) FILTER (starts_with(\"filePath\", 'src1/')) AS purged, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS abandoned FROM bad")
 def _(spark, d):
     """The sweep after the embedder works again and the files of one folder are gone."""
     engine = indexed(spark, d, embedding.Batches(refuse, 8))
