@@ -35,7 +35,8 @@ from pyspark.sql.types import StructType
 from loomdex.llm._counts import most_frequent
 from loomdex.llm._store import materialize
 from loomdex.llm._words import column, slices
-from loomdex.llm.bpe import PATTERN, _once, read_model
+from loomdex.llm._worker import once
+from loomdex.llm.bpe import PATTERN, read_model
 
 #: Pairs that go to every worker with their counts, at most: 17 bytes each.
 TOP_PAIRS = 1 << 19
@@ -208,7 +209,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     schema = StructType([*docs.select(key).schema.fields, *_made(docs).fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _once(f"a:{a_path}", lambda: Side(ByteLevel(a_path))), _once(f"b:{b_path}", lambda: Side(Pieces(b_path)))
+        a, b = once("a", a_path, lambda: Side(ByteLevel(a_path))), once("b", b_path, lambda: Side(Pieces(b_path)))
         for part in slices(batches, text):
             got = align_texts(column(part, text).to_pylist(), a, b)
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], got.pair_ends]), pa.int32()), pa.array(x, pa.int64())) for x in (got.pairs, got.times)]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from loomdex.llm._counts import most_frequent
 from loomdex.llm._store import materialize
 from loomdex.llm._words import column, slices, utf8
+from loomdex.llm._worker import once
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than a single space or line feed between words: such texts are split as a whole.
@@ -384,17 +385,6 @@ class Decoder:
         return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(raw))
 
 
-_made: dict[str, object] = {}
-
-
-def _once(key: str, make):
-    """One coder for each worker process, not for each task."""
-    if key not in _made:
-        _made.clear() if len(_made) > 8 else None
-        _made[key] = make()
-    return _made[key]
-
-
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each space-separated word of up to LEXICON_BYTES characters occurs, over all texts."""
 
@@ -444,7 +434,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str =
             model, block = pickle.loads(sent.value)
             return Coder(model, map_block(block))
 
-        coder = _once(key, make)
+        coder = once("coder", key, make)
         for part in slices(batches, text):
             rows = coder.encode_many(column(part, text).to_pylist())
             offsets = np.zeros(len(rows) + 1, np.int32)
@@ -463,7 +453,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids: str
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _once(key, lambda: Decoder(pickle.loads(sent.value)))
+        decoder = once("decoder", key, lambda: Decoder(pickle.loads(sent.value)))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.llm._words import SPACE, column, slices, windows, words
+from loomdex.llm._worker import release
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -121,6 +122,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     schema = T.StructType([docs.schema[key], *(T.StructField(x, T.LongType()) for x in names), *(docs.schema[c] for c in carry)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, text):
             got = statistics_of(column(part, text))
             yield pa.RecordBatch.from_arrays([column(part, key), *(pa.array(got[x], pa.int64()) for x in names), *(column(part, c) for c in carry)], [key, *names, *carry])
