@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.llm import _graph, ann, line_dedup, ngram_join, substring_dedup
+from loomdex.llm import _graph, _store, ann, line_dedup, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -259,6 +260,22 @@ def test_lines_of_a_large_group(spark):
     assert sum(len(r["__removed"]) for r in got) >= 50 and not next(r for r in got if r.doc_id == 0)["__removed"]
 
 
+def test_what_line_dedup_wrote_and_shuffled_goes(spark):
+    shared = Path(_store.shared_dir(spark).removeprefix("file://"))
+    blocks = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    draw = random.Random(5)
+    lines = [sentence(draw) for _ in range(40)]
+    near = [x.replace(" ", " very ", 1) for x in lines]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines + near)], "doc_id long, text string")
+    held = set(blocks.rglob("shuffle_*"))
+    counted = _store.materialize(docs.groupBy("text").count())
+    assert not set(blocks.rglob("shuffle_*")) - held and counted.count() == 80
+    tables = set(shared.glob("table-*"))
+    found = line_dedup.removals(docs)
+    assert len(set(shared.glob("table-*")) - tables) == 1
+    assert {r.k for r in found.collect()} == set(range(40, 80))
+
+
 def test_passages(spark):
     draw = random.Random(10)
     clean = [(i, sentence(draw, draw.randint(30, 200))) for i in range(20)]
