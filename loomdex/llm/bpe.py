@@ -22,13 +22,13 @@ import os
 import pickle
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm._counts import most_frequent
@@ -421,13 +421,15 @@ def build_lexicon(docs: DataFrame, model: dict, text: str = "text", most: int =
     return compile_lexicon(entries)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text", lexicon: bytes | None = None) -> DataFrame:
-    """(id_col, ids array<int>): the ids of every whole text. Builds the lexicon from the corpus if none is given."""
+#: Batches of a task to batches; one worker process can run several in turn.
+Step = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _encoder(docs: DataFrame, model_path: str, id_col: str, text: str, lexicon: bytes | None) -> Step:
     model = read_model(model_path)
     block = build_lexicon(docs, model, text) if lexicon is None else lexicon
     packed = pickle.dumps((model, block))
     key, sent = hashlib.sha1(packed).hexdigest(), docs.sparkSession.sparkContext.broadcast(packed)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
@@ -442,15 +444,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str =
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
             yield pa.RecordBatch.from_arrays([column(part, id_col), pa.ListArray.from_arrays(pa.array(offsets), flat)], [id_col, "ids"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(id_col, ids, decoded): the text of every id list; an id outside the vocabulary raises IndexError, a null list is empty."""
-    pieces = read_model(model_path)["pieces"]
-    packed = pickle.dumps(pieces)
-    key, sent = hashlib.sha1(packed).hexdigest(), encoded.sparkSession.sparkContext.broadcast(packed)
-    kind = encoded.schema[id_col].dataType.simpleString()
+def _decoder(spark: SparkSession, model_path: str, id_col: str, ids: str) -> Step:
+    packed = pickle.dumps(read_model(model_path)["pieces"])
+    key, sent = hashlib.sha1(packed).hexdigest(), spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = once("decoder", key, lambda: Decoder(pickle.loads(sent.value)))
@@ -465,12 +464,26 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids: str
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([column(part, id_col), column(part, ids), decoder.column(flat, offsets)], [id_col, ids, "decoded"])
 
-    return encoded.select(id_col, ids).mapInArrow(run, f"`{id_col}` {kind}, `{ids}` array<int>, decoded string")
+    return run
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text", lexicon: bytes | None = None) -> DataFrame:
+    """(id_col, ids array<int>): the ids of every whole text. Builds the lexicon from the corpus if none is given."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text).mapInArrow(_encoder(docs, model_path, id_col, text, lexicon), f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(id_col, ids, decoded): the text of every id list; an id outside the vocabulary raises IndexError, a null list is empty."""
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, ids).mapInArrow(_decoder(encoded.sparkSession, model_path, id_col, ids), f"`{id_col}` {kind}, `{ids}` array<int>, decoded string")
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, ids, decoded) of every text."""
-    return decode(encode(docs, model_path, id_col, text), model_path, id_col)
+    """(id_col, ids, decoded) of every text; a task has one worker for both, so no second one is left with memory of its own."""
+    first, then = _encoder(docs, model_path, id_col, text, None), _decoder(docs.sparkSession, model_path, id_col, "ids")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text).mapInArrow(lambda batches: then(first(batches)), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 __all__ = ["Coder", "Decoder", "Lexicon", "build_lexicon", "compile_lexicon", "count_words", "decode", "encode", "encode_decode", "merge", "read_model", "utf8"]

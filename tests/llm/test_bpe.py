@@ -66,3 +66,8 @@ def test_dataframe(spark, model_path):
     want, _ = library(model_path, ["the of and", "", "é\n\n b"])
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in got) == sorted([(1, want[0], "the of and")] * 2 + [(2, [], ""), (3, [], ""), (0, want[2], "é\n\n b")])
     assert bpe.encode_decode(df.limit(0), model_path).count() == 0
+
+
+def test_a_task_has_one_worker(spark, model_path):
+    coded = bpe.encode_decode(spark.createDataFrame([(1, "the of", "x")], SCHEMA), model_path)
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
