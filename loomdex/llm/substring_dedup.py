@@ -14,9 +14,12 @@ are shared, which a passage of Jaccard 0.8 (one word in 45 changed) reaches.
 
 Bands: with one minimum each, paragraphs of Jaccard 0.8 meet in one of 3 bands with
 probability 1 - 0.2**3 = 0.992; unrelated ones, which share no 5-word shingle, do not meet.
-In a bucket each paragraph is compared with two pivots, the bucket's smallest paragraph
-and the smallest of those that agree with it in all bands, so a bucket costs as much as
-it has rows. Equal paragraphs are always found.
+In a bucket each paragraph is first compared with two pivots, the bucket's smallest paragraph
+and the smallest of those that agree with it in all bands. What is still in different
+clusters of one bucket is then compared with each other, each different paragraph once; the
+numbers of shingles and 64-bit marks of them bound the Jaccard from above before sets are
+read (no link is lost by that). So large groups of copies cost about as much as they have
+rows, and every link between paragraphs that meet is found.
 
 Defined cases: a null or empty text has no paragraphs; paragraphs of fewer words than a
 shingle count as one shingle; repeats inside one text alone count only without ``across``; a null id is read as
@@ -113,7 +116,7 @@ def _paragraph_rows(docs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(p, tokens) of wanted paragraphs (p, k), read from their documents."""
+    """(p, tokens, m, marks) of wanted paragraphs (p, k), read from their documents: shingles, their number, and a bit set of them."""
     lists = wanted.groupBy("k").agg(F.collect_set("p").alias("ps"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +125,15 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             asked = [set(x) for x in column(part, "ps").to_pylist()]
             name = p.whole.view(np.int64).tolist()
             found = [i for i, (o, x) in enumerate(zip(p.owner.tolist(), name)) if x in asked[o]]
-            tokens = [np.unique(p.shingles[p.first_shingle[i] : p.first_shingle[i + 1]]).tobytes() for i in found]
-            yield pa.RecordBatch.from_arrays([pa.array([name[i] for i in found], pa.int64()), pa.array(tokens, pa.binary())], ["p", "tokens"])
+            sets = [np.unique(p.shingles[p.first_shingle[i] : p.first_shingle[i + 1]]) for i in found]
+            marks = np.array([np.bitwise_or.reduce(np.uint64(1) << (mix(x) >> np.uint64(58))) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name[i] for i in found], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(marks.view(np.int64))],
+                ["p", "tokens", "m", "marks"],
+            )
 
     rows = sieve(docs.select("k", "text"), wanted, "k").join(lists, "k").select("text", "ps")
-    return materialize(rows.mapInArrow(run, "p long, tokens binary").dropDuplicates(["p"]))
+    return materialize(rows.mapInArrow(run, "p long, tokens binary, m int, marks long").dropDuplicates(["p"]))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,6 +151,22 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _verified_rest(docs: DataFrame, met: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Links between paragraphs of one bucket of ``met`` that are in different components; none if there is no pair to compare."""
+    placed = met.groupBy("bucket", "p").agg(F.min("k").alias("k")).join(comps.select(F.col("id").alias("p"), "component"), "p", "left").withColumn("component", F.coalesce("component", "p"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    apart = materialize(placed.join(open_, "bucket"))
+    sets = _shingle_sets(docs, materialize(apart.groupBy("p").agg(F.min("k").alias("k"))))
+    sized = apart.join(sets.select("p", "m", "marks"), "p")
+    left, right = (sized.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("p", "component", "m", "marks"))) for s in "ab")
+    total, less, greater = F.col("a_m") + F.col("b_m"), F.least("a_m", "b_m"), F.greatest("a_m", "b_m")
+    # Of a union u a Jaccard of NUM / DEN leaves (DEN - NUM) / DEN * u outside the intersection, and the sizes add up to (DEN + NUM) / DEN * u at least.
+    alike = (DEN * less >= NUM * greater) & ((DEN + NUM) * F.bit_count(F.col("a_marks").bitwiseXOR(F.col("b_marks"))) <= (DEN - NUM) * total)
+    pairs = left.join(right, "bucket").where((F.col("a_p") < F.col("b_p")) & (F.col("a_component") != F.col("b_component")) & alike)
+    pairs = materialize(pairs.select(F.col("a_p").alias("a"), F.col("b_p").alias("b")).distinct())
+    return None if pairs.isEmpty() else materialize(_verify(pairs, sets))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, across: bool = True) -> DataFrame:
     """(k, th, n_shared_words, n_removed_words, spans, clusters): documents with repeated passages.
 
@@ -169,7 +192,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: i
         wanted = materialize(ends.groupBy("p").agg(F.min("k").alias("k")))
         return materialize(_verify(pairs.select("a", "b"), _shingle_sets(slim, wanted)))
 
-    comps = materialize(connected_components(links_of(stars)))
+    links = links_of(stars)
+    comps = materialize(connected_components(links))
+    more = _verified_rest(slim, met, comps)
+    if more is not None:
+        comps = materialize(connected_components(links.unionByName(more)))
     # Every paragraph that meets another in band 0 is there once; near ones that meet elsewhere only are added.
     linked = met.join(comps.select(F.col("id").alias("p"), "component"), "p", "left")
     spots = linked.groupBy("k", "th", "at", "n", "p").agg(F.max("component").alias("component"))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,29 @@ def test_passages(spark):
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
 
 
+def test_near_paragraphs_that_agree_with_no_pivot(spark):
+    """First paragraphs of Jaccard 0.8 or more that meet in one bucket of many, and differ in both other bands."""
+    draw = random.Random(4)
+    texts = []
+    for _ in range(40):
+        phrase = sentence(draw, 5)
+        for _ in range(1000):
+            x = f"{phrase} {sentence(draw, 9)}"
+            texts += [x, f"{sentence(draw, 1)} {x}"]
+    p = substring_dedup.Paragraphs(pa.array(texts))
+    first = np.searchsorted(p.owner, np.arange(len(texts)))
+    size = (p.ends - p.starts)[first]
+    bands = [p.minima(b)[first] for b in range(substring_dedup.BANDS)]
+    a, b = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    fits = (size[a] >= 8) & (size[b] == size[a] + 1) & (bands[0][a] == bands[0][b]) & (bands[1][a] != bands[1][b]) & (bands[2][a] != bands[2][b])
+    values, counts = np.unique(bands[0][a][fits], return_counts=True)
+    chosen = np.flatnonzero(fits & (bands[0][a] == values[counts.argmax()]))
+    assert len(chosen) >= 4
+    docs = spark.createDataFrame([(2 * int(i) + j, texts[2 * i + j]) for i in chosen for j in (0, 1)], "doc_id long, text string")
+    found = {r.k: r.n_shared_words for r in substring_dedup.repeats(docs, min_run=1).collect()}
+    assert found == {2 * int(i) + j: 14 + j for i in chosen for j in (0, 1)}
+
+
 def shingle_jaccard(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
     return len(x & y) / len(x | y)
