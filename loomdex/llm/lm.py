@@ -3,8 +3,8 @@
 Counts come from all training texts. The network (see gru.py) reads each text from its
 first word to its end with its state carried on. It is fitted by truncated backpropagation
 in two steps, both in executors: a start on whole texts, in order of their id's hash, until
-they have ``FIT_TOKENS`` tokens; then one training text in ``SHARE``, by another hash, in
-blocks of about ``FIT_TOKENS`` tokens. Each block goes on from the start by itself, and the
+they have ``FIT_TOKENS`` tokens; then all training texts (one in ``SHARE``, which is 1), in
+blocks of about ``FIT_TOKENS`` tokens dealt by another hash. Each block goes on from the start by itself, and the
 parameters are averaged, weighted by tokens. So what the network is fitted on grows with
 the input, and any block can be trained again alone.
 Words beyond the ``KNOWN`` most frequent are looked up by a join, so no table of all
@@ -37,7 +37,7 @@ from loomdex.llm.gru import PER_CLASS, Gru
 #: Words that every worker knows by count; of them, words with an output of their own; tokens the network is fitted on.
 KNOWN, WORDS, FIT_TOKENS = 1 << 17, 4096, 1_500_000
 #: One in so many training texts goes to the blocks; tasks that add up their parameters.
-SHARE, ADDERS = 8, 16
+SHARE, ADDERS = 1, 16
 #: Texts are scored side by side in groups of about so many tokens.
 GROUP_TOKENS = 2_000_000
 
@@ -156,7 +156,7 @@ def _tokenize(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _train(docs: DataFrame, model: Model, key: str, text: str, most: int, share: int) -> None:
-    """Fits the model's network: a start on a bounded sample, then blocks of a share of all texts."""
+    """Fits the model's network: a start on some texts, then blocks of all of them (or of one in ``share``)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     part = model.tokens and 1.1 * most / model.tokens

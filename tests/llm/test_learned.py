@@ -222,3 +222,17 @@ def test_language_model_learns_from_blocks(spark):
     docs = spark.createDataFrame([(i, text(200)) for i in range(400)], "doc_id long, text string")
     total = lambda share: (lambda m: lm.score(docs.where("doc_id < 50"), *m).agg(F.sum("score")).first()[0])(lm.fit(docs.where("doc_id >= 50"), fit_tokens=6000, share=share))
     assert total(1) > total(10**9) + 500
+
+
+def test_the_network_is_fitted_on_every_training_text(spark, monkeypatch):
+    seen, made = [], lm._blocks
+
+    def blocks(rows, model, steps, most):
+        if most is None:
+            seen.append(rows.count())
+        return made(rows, model, steps, most)
+
+    monkeypatch.setattr(lm, "_blocks", blocks)
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 7}") for i in range(80)], "doc_id long, text string")
+    lm.fit(docs, fit_tokens=60, known=10, n_words=6)
+    assert seen == [80]
