@@ -141,77 +141,150 @@ class Gru:
                 losses.append(loss)
         return losses
 
-    def _apply(self, name: str, grad: np.ndarray, sums: dict, rate: float, at=slice(None)) -> None:
-        grad = np.clip(grad, -1, 1)
-        s = sums[name]
-        s[at] += grad * grad
-        getattr(self, name)[at] -= rate * grad / np.sqrt(s[at])
+    def _apply(self, name: str, grad: np.ndarray, sums: dict, rate: float, at=None) -> None:
+        """A step for all rows or those at ``at``, distinct ones; a gradient of 0 changes nothing."""
+        grad.clip(-1, 1, out=grad)
+        s = sums[name] if at is None else sums[name][at]
+        s += grad * grad
+        if at is not None:
+            sums[name][at] = s
+        grad /= np.sqrt(s)
+        grad *= rate
+        if at is None:
+            getattr(self, name)[:] -= grad
+        else:
+            getattr(self, name)[at] -= grad
+
+    def _words_inside(self, flat: np.ndarray, token: np.ndarray, kind: np.ndarray, dflat: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss of words in their classes, and the gradients of ww and bw times scale; adds to dflat.
+
+        Classes with about as many tokens are padded to equal lengths and worked on side by
+        side. The last row of flat and dflat stands for what is padded.
+        """
+        order = np.append(np.argsort(kind, kind="stable"), len(token))
+        counts = np.bincount(kind, minlength=self.ww.shape[0])[: self.ww.shape[0]]
+        first = np.cumsum(counts) - counts
+        size = np.maximum(np.ceil(np.log2(np.maximum(counts, 1))), 3)
+        dw, db, loss = np.zeros_like(self.ww), np.zeros_like(self.bw), 0.0
+        for step in np.unique(size[counts > 0]):
+            ks = np.flatnonzero((size == step) & (counts > 0))
+            place = np.arange(counts[ks].max())
+            inside = place < counts[ks][:, None]
+            at = order[np.where(inside, first[ks][:, None] + place, len(token))]
+            x, w = flat[at], self.ww[ks]
+            q = x @ w
+            q += self.bw[ks][:, None, :]
+            total = _exp(q)
+            c, r = np.nonzero(inside)
+            local = token[at[c, r]] - ks[c] * PER_CLASS
+            loss -= np.log(q[c, r, local] / total[c, r] + 1e-30).sum()
+            q *= (scale * inside / total)[:, :, None]
+            q[c, r, local] -= scale
+            dflat[at] += q @ w.transpose(0, 2, 1)
+            dw[ks], db[ks] = x.transpose(0, 2, 1) @ q, q.sum(axis=1)
+        return loss, dw, db
 
     def _update(self, h0: np.ndarray, inputs: np.ndarray, wanted: np.ndarray, end: int, sums: dict, rate: float) -> tuple[float, np.ndarray]:
         n, steps = inputs.shape
-        m = self.hidden
-        prev, hs, zs, rs, news, gs, fresh = [], [], [], [], [], [], []
+        m, f = self.hidden, np.float32
+        scale = f(1.0 / n)
+        given = np.ascontiguousarray(inputs.T)
+        starts = given == end  # a text begins without a state
+        some = starts.any(axis=1)
+        goes_on = (~starts)[:, :, None].astype(f)
+        x = self.table[given]
+        x += self.b
+        xg, xn = np.negative(x[:, :, : 2 * m]), np.ascontiguousarray(x[:, :, 2 * m :])
+        ug, un = np.negative(self.u[:, : 2 * m]), np.ascontiguousarray(self.u[:, 2 * m :])
+        prev, news, inner = (np.empty((steps, n, m), f) for _ in range(3))
+        gates, hs = np.empty((steps, n, 2 * m), f), np.zeros((steps * n + 1, m), f)
+        by_step = hs[:-1].reshape(steps, n, m)
         h = h0
-        for t in range(steps):
-            start = (inputs[:, t] == end)[:, None]
-            h = np.where(start, 0, h).astype(np.float32)  # a text begins without a state
-            x, g = self.table[inputs[:, t]] + self.b, h @ self.u
-            gates = _sigmoid(x[:, : 2 * m] + g[:, : 2 * m])
-            z, r = gates[:, :m], gates[:, m:]
-            new = np.tanh(x[:, 2 * m :] + r * g[:, 2 * m :])
-            prev.append(h)
-            h = new + z * (h - new)
-            for store, v in zip((hs, zs, rs, news, gs, fresh), (h, z, r, new, g, start)):
-                store.append(v)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                p, a, new = prev[t], gates[t], news[t]
+                if some[t]:
+                    np.multiply(h, goes_on[t], out=p)
+                else:
+                    p[:] = h
+                np.matmul(p, ug, out=a)
+                a += xg[t]
+                np.exp(a, out=a)
+                a += 1
+                np.reciprocal(a, out=a)
+                np.matmul(p, un, out=inner[t])
+                np.multiply(a[:, m:], inner[t], out=new)
+                new += xn[t]
+                np.tanh(new, out=new)
+                h = by_step[t]
+                np.subtract(p, new, out=h)
+                h *= a[:, :m]
+                h += new
         # Output layer for all steps at once, rows by step.
-        flat, token = np.concatenate(hs), wanted.T.reshape(-1)
+        flat, token = hs[:-1], wanted.T.reshape(-1)
         kind, rows = self.class_of(token), np.arange(n * steps)
-        out = flat @ self.wc + self.bc
-        out -= out.max(axis=1, keepdims=True)
-        p = np.exp(out)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[rows, kind] + 1e-30).sum()
-        p[rows, kind] -= 1
-        dflat = p @ self.wc.T
+        p = flat @ self.wc
+        p += self.bc
+        total = _exp(p)
+        loss = -np.log(p[rows, kind] / total + 1e-30).sum()
+        p *= (scale / total)[:, None]
+        p[rows, kind] -= scale
+        dflat = np.zeros((n * steps + 1, m), f)
+        np.matmul(p, self.wc.T, out=dflat[:-1])
         dwc, dbc = flat.T @ p, p.sum(axis=0)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.ww.shape[0] + 1))
-        inner = []
-        for k in range(self.ww.shape[0]):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                q = flat[at] @ self.ww[k] + self.bw[k]
-                q -= q.max(axis=1, keepdims=True)
-                q = np.exp(q)
-                q /= q.sum(axis=1, keepdims=True)
-                local = token[at] - k * PER_CLASS
-                loss -= np.log(q[np.arange(len(at)), local] + 1e-30).sum()
-                q[np.arange(len(at)), local] -= 1
-                dflat[at] += q @ self.ww[k].T
-                inner.append((k, flat[at].T @ q, q.sum(axis=0)))
-        du, dxs = np.zeros_like(self.u), []
-        carry = np.zeros((n, m), np.float32)
+        more, dww, dbw = self._words_inside(hs, token, kind, dflat, scale)
+        # All of a step's gradients are its state's times these.
+        z, r = gates[:, :, :m], gates[:, :, m:]
+        by_new = (1 - z) * (1 - news * news)
+        by = np.empty((steps, n, 3, m), f)
+        by[:, :, 0] = (prev - news) * z * (1 - z)
+        np.multiply(by_new, r, out=by[:, :, 2])
+        by[:, :, 1] = by[:, :, 2] * inner * (1 - r)
+        dg, back = np.empty((steps, n, 3 * m), f), np.ascontiguousarray(self.u.T)
+        dflat = dflat[:-1].reshape(steps, n, m)
+        carry = np.zeros((n, m), f)
         for t in range(steps - 1, -1, -1):
-            dh = dflat[t * n : (t + 1) * n] + carry
-            z, r, new, g = zs[t], rs[t], news[t], gs[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (prev[t] - new) * z * (1 - z)
-            dr = dnew * g[:, 2 * m :] * r * (1 - r)
-            dg = np.concatenate([dz, dr, dnew * r], axis=1)
-            dxs.append(np.concatenate([dz, dr, dnew], axis=1))
-            du += prev[t].T @ dg
-            carry = np.where(fresh[t], 0, dh * z + dg @ self.u.T)
-        scale = 1.0 / n
-        dx = np.concatenate(dxs[::-1]) * scale
-        used, inverse = np.unique(inputs.T.reshape(-1), return_inverse=True)
-        dtable = np.zeros((len(used), 3 * m), np.float32)
-        np.add.at(dtable, inverse, dx)
+            dh = dflat[t]
+            dh += carry
+            np.multiply(dh[:, None], by[t], out=dg[t].reshape(n, 3, m))
+            np.matmul(dg[t], back, out=carry)
+            carry += dh * z[t]
+            if some[t]:
+                carry *= goes_on[t]
+        dg = dg.reshape(-1, 3 * m)
+        du = prev.reshape(-1, m).T @ dg
+        dg[:, 2 * m :] = (dflat * by_new).reshape(-1, m)
+        used, dtable = _sum_by(given.reshape(-1), dg)
         self._apply("table", dtable, sums, rate, used)
-        self._apply("b", dx.sum(axis=0), sums, rate)
-        self._apply("u", du * scale, sums, rate)
-        self._apply("wc", dwc * scale, sums, rate)
-        self._apply("bc", dbc * scale, sums, rate)
-        for k, dw, db in inner:
-            self._apply("ww", dw * scale, sums, rate, k)
-            self._apply("bw", db * scale, sums, rate, k)
-        return float(loss / (n * steps)), h
+        self._apply("b", dg.sum(axis=0), sums, rate)
+        for name, grad in (("u", du), ("wc", dwc), ("bc", dbc), ("ww", dww), ("bw", dbw)):
+            self._apply(name, grad, sums, rate)
+        return float((loss + more) / (n * steps)), h.copy()
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Turns x into its exponentials but for a factor by row; returns their sums over the last axis."""
+    kept = x - x.max()
+    ones = np.ones(x.shape[-1], x.dtype)
+    np.exp(kept, out=kept)
+    total = kept @ ones
+    if total.size and total.min() < 1e-20:  # rows that lie far below the greatest value
+        kept = np.exp(x - x.max(axis=-1, keepdims=True))
+        total = kept @ ones
+    x[...] = kept
+    return total
+
+
+def _sum_by(name: np.ndarray, rows: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, and the sum of each one's rows."""
+    order = np.argsort(name, kind="stable")
+    name = name[order]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    count = np.diff(np.append(first, len(name)))
+    out = rows[order[first]]
+    for k in range(1, few):
+        at = np.flatnonzero((count > k) & (count <= few))
+        out[at] += rows[order[first[at] + k]]
+    for i in np.flatnonzero(count > few):
+        out[i] = rows[order[first[i] : first[i] + count[i]]].sum(axis=0)
+    return name[first], out

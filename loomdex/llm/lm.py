@@ -161,14 +161,16 @@ def _train(docs: DataFrame, model: Model, key: str, text: str, most: int, share:
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     part = model.tokens and 1.1 * most / model.tokens
     first = docs.where(draw < part).select(F.lit(0).cast("long").alias("block"), draw.alias("draw"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    (row,) = _blocks(first.coalesce(1), model, None, most).collect() or (None,)
+    (row,) = _blocks(first.repartition(1), model, None, most).collect() or (None,)
     if row is None:
         return
     model.net, steps = pickle.loads(row.net)
     chosen = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(12), F.xxhash64(text)), F.lit(share)) == 0)
     n = max(1, -(-int(chosen.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n) // most))
     block = F.pmod(F.xxhash64(F.col(key), F.lit(13), F.xxhash64(text)), F.lit(n))
-    rows = chosen.select(block.alias("block"), draw.alias("draw"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).repartition(n, "block")
+    rows = chosen.select(block.alias("block"), draw.alias("draw"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    # A task for each block: dealt by hash, some tasks would train several.
+    rows = rows.repartitionById(n, F.col("block").cast("int"))
     trained = materialize(_blocks(rows, model, steps, None))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.llm import langid, lm, quality
-from loomdex.llm.gru import Gru
+from loomdex.llm.gru import PER_CLASS, Gru, _exp
 from loomdex.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,3 +236,88 @@ def test_the_network_is_fitted_on_every_training_text(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 7}") for i in range(80)], "doc_id long, text string")
     lm.fit(docs, fit_tokens=60, known=10, n_words=6)
     assert seen == [80]
+
+
+def _plain_update(net, h, inputs, wanted, end, rate, steps):
+    """One update of the network token by token, in double precision; returns the mean loss."""
+    p = {k: getattr(net, k).astype(np.float64) for k in Gru.PARAMETERS}
+    m, (n, length) = net.hidden, inputs.shape
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    loss = 0.0
+    for row in range(n):
+        state, trace = h[row].astype(np.float64), []
+        for x, y in zip(inputs[row], wanted[row]):
+            before = np.zeros(m) if x == end else state
+            a, g = p["table"][x] + p["b"], before @ p["u"]
+            z, r = np.split(1 / (1 + np.exp(-(a[: 2 * m] + g[: 2 * m]))), 2)
+            new = np.tanh(a[2 * m :] + r * g[2 * m :])
+            state = new + z * (before - new)
+            trace.append((x, y, before, z, r, new, g, state))
+        carry = np.zeros(m)
+        for x, y, before, z, r, new, g, state in reversed(trace):
+            dh, kind = carry, int(net.class_of(np.array([y]))[0])
+            parts = [("wc", "bc", slice(None), kind)] + ([("ww", "bw", kind, y - kind * PER_CLASS)] if y < net.words else [])
+            for w, b, at, hit in parts:
+                matrix = p[w] if w == "wc" else p[w][at]
+                q = state @ matrix + p[b][at]
+                q = np.exp(q - q.max())
+                q /= q.sum()
+                loss -= np.log(q[hit])
+                q[hit] -= 1
+                grad[w][at] += np.outer(state, q)
+                grad[b][at] += q
+                dh = dh + matrix @ q
+            dnew = dh * (1 - z) * (1 - new * new)
+            dz, dr = dh * (before - new) * z * (1 - z), dnew * g[2 * m :] * r * (1 - r)
+            dg = np.concatenate([dz, dr, dnew * r])
+            dx = np.concatenate([dz, dr, dnew])
+            grad["table"][x] += dx
+            grad["b"] += dx
+            grad["u"] += np.outer(before, dg)
+            carry = np.zeros(m) if x == end else dh * z + p["u"] @ dg
+    for k, v in grad.items():
+        v = np.clip(v / n, -1, 1)
+        p[k] -= rate * v / np.sqrt(steps[k] + v * v)
+    return p, loss / (n * length)
+
+
+def test_updates_equal_plain_ones():
+    draw = np.random.default_rng(8)
+    words, bands, end = 3 * PER_CLASS - 5, 3, 0
+    counts = 1e4 / np.arange(1, words + 1)
+    share = np.append(counts, [300, 200, 100]) / (counts.sum() + 600)
+    net = Gru.start(counts, np.array([300.0, 200.0, 100.0]), hidden=6)
+    part = draw.choice(words + bands, size=(5, 40), p=share).astype(np.int32)
+    inputs, wanted = part[:, :-1], part[:, 1:]
+    h = (draw.standard_normal((5, 6)) * 0.3).astype(np.float32)
+    steps = {k: np.full_like(getattr(net, k), 1e-1) for k in Gru.PARAMETERS}
+    want, want_loss = _plain_update(net, h, inputs, wanted, end, 0.08, steps)
+    loss, _ = net._update(h, inputs, wanted, end, steps, 0.08)
+    assert abs(loss - want_loss) < 1e-4
+    for k in Gru.PARAMETERS:
+        assert np.abs(getattr(net, k) - want[k]).max() < 1e-4, k
+
+
+def test_rows_far_below_the_greatest_value():
+    x = np.array([[0.0, 1.0], [500.0, 499.0]], np.float32)
+    total = _exp(x)
+    assert np.allclose(x / total[:, None], [[0.26894143, 0.73105857], [0.73105857, 0.26894143]])
+
+
+def test_blocks_are_trained_in_tasks_of_their_own(spark):
+    """Each block has a task: dealt by hash, two of them would meet in one and take its time twice."""
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tasks = []
+    real = lm._blocks
+
+    def seen(rows, *args):
+        tasks.append([r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count_distinct("block").alias("n")).collect()])
+        return real(rows, *args)
+
+    lm._blocks = seen
+    try:
+        lm.fit(docs, fit_tokens=1500, n_words=64)
+    finally:
+        lm._blocks = real
+    assert len(tasks[1]) == 17 and set(tasks[1]) == {1}
