@@ -16,10 +16,12 @@ Bands: with one minimum each, paragraphs of Jaccard 0.8 meet in one of 3 bands w
 probability 1 - 0.2**3 = 0.992; unrelated ones, which share no 5-word shingle, do not meet.
 In a bucket each paragraph is first compared with two pivots, the bucket's smallest paragraph
 and the smallest of those that agree with it in all bands. What is still in different
-clusters of one bucket is then compared with each other, each different paragraph once; the
+clusters of one bucket is then compared where it shares one of its rarest shingles (a prefix
+filter, exact for each pair of sizes), again with a pivot first and then with each other; the
 numbers of shingles and 64-bit marks of them bound the Jaccard from above before sets are
-read (no link is lost by that). So large groups of copies cost about as much as they have
-rows, and every link between paragraphs that meet is found.
+read (no link is lost by that). So large groups of copies, or of unlike paragraphs around one
+phrase, cost about as much as they have rows, and every link between paragraphs that meet is
+found.
 
 Defined cases: a null or empty text has no paragraphs; paragraphs of fewer words than a
 shingle count as one shingle; repeats inside one text alone count only without ``across``; a null id is read as
@@ -39,7 +41,7 @@ from pyspark.sql.window import Window
 
 from loomdex.llm._graph import connected_components
 from loomdex.llm._sieve import sieve
-from loomdex.llm._store import materialize
+from loomdex.llm._store import discard, materialize
 from loomdex.llm._words import Words, column, mix, slices, windows, words
 
 RADIUS, SHINGLE, BANDS, MIN_RUN = 5, 5, 3, 20
@@ -151,20 +153,77 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified_rest(docs: DataFrame, met: DataFrame, comps: DataFrame) -> DataFrame | None:
-    """Links between paragraphs of one bucket of ``met`` that are in different components; none if there is no pair to compare."""
-    placed = met.groupBy("bucket", "p").agg(F.min("k").alias("k")).join(comps.select(F.col("id").alias("p"), "component"), "p", "left").withColumn("component", F.coalesce("component", "p"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    apart = materialize(placed.join(open_, "bucket"))
-    sets = _shingle_sets(docs, materialize(apart.groupBy("p").agg(F.min("k").alias("k"))))
-    sized = apart.join(sets.select("p", "m", "marks"), "p")
-    left, right = (sized.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("p", "component", "m", "marks"))) for s in "ab")
+#: What paragraphs that may be near each other share: a bucket, a token, and both numbers of shingles.
+_KEY = ["bucket", "token", "lo", "hi"]
+
+
+def _index(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, token, lo, hi, p, m, marks): paragraphs of ``apart`` under each key by which a near one of their bucket may be found.
+
+    Sets of a and b shingles have a Jaccard of NUM / DEN only with o = ceil(NUM * (a + b) / (NUM + DEN))
+    in common. In one order of all tokens, rare ones first, the first of these is then among
+    the first a - o + 1 of the one and b - o + 1 of the other. A token of one paragraph alone
+    takes a place there, but finds nothing and is left out.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = column(batch, "m").to_numpy()
+            tokens = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v.as_buffer(), np.int64) for v in column(batch, "tokens"))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "p").to_numpy(), m)), pa.array(np.repeat(m, m)), pa.array(tokens)], ["p", "m", "token"])
+
+    tokens = materialize(sets.select("p", "m", "tokens").mapInArrow(run, "p long, m int, token long"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    placed = tokens.join(counts, "token").withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy("n", "token")))
+    other = F.explode(F.sequence(F.ceil(NUM * F.col("m") / DEN).cast("int"), F.floor(DEN * F.col("m") / NUM).cast("int")))
+    common = F.floor((NUM * (F.col("m") + F.col("other")) + NUM + DEN - 1) / (NUM + DEN))
+    found = placed.where("n > 1").select("p", "m", "token", "place", other.alias("other")).where(F.col("place") <= F.col("m") - common + 1)
+    found = found.select("p", "m", "token", F.least("m", "other").alias("lo"), F.greatest("m", "other").alias("hi"))
+    index = found.join(apart.select("bucket", "p"), "p").join(sets.select("p", "marks"), "p").select(*_KEY, "p", "m", "marks")
+    wide = index.groupBy(*_KEY).agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low <> high").select(*_KEY)
+    out = materialize(index.join(wide, _KEY))
+    discard(tokens)
+    return out
+
+
+def _alike() -> F.Column:
+    """Whether sizes and marks (columns a_m, a_marks, b_m, b_marks) allow the Jaccard."""
     total, less, greater = F.col("a_m") + F.col("b_m"), F.least("a_m", "b_m"), F.greatest("a_m", "b_m")
     # Of a union u a Jaccard of NUM / DEN leaves (DEN - NUM) / DEN * u outside the intersection, and the sizes add up to (DEN + NUM) / DEN * u at least.
-    alike = (DEN * less >= NUM * greater) & ((DEN + NUM) * F.bit_count(F.col("a_marks").bitwiseXOR(F.col("b_marks"))) <= (DEN - NUM) * total)
-    pairs = left.join(right, "bucket").where((F.col("a_p") < F.col("b_p")) & (F.col("a_component") != F.col("b_component")) & alike)
-    pairs = materialize(pairs.select(F.col("a_p").alias("a"), F.col("b_p").alias("b")).distinct())
-    return None if pairs.isEmpty() else materialize(_verify(pairs, sets))
+    return (DEN * less >= NUM * greater) & ((DEN + NUM) * F.bit_count(F.col("a_marks").bitwiseXOR(F.col("b_marks"))) <= (DEN - NUM) * total)
+
+
+def _connect_rest(docs: DataFrame, met: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, component) with the links, too, between paragraphs of one bucket of ``met`` that are in different components of ``comps``.
+
+    Under each key of the index paragraphs are compared with the smallest one first, then
+    those that are still in different components with each other.
+    """
+    placed = met.groupBy("bucket", "p").agg(F.min("k").alias("k")).join(comps.select(F.col("id").alias("p"), "component"), "p", "left").withColumn("component", F.coalesce("component", "p"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    apart = materialize(placed.join(open_, "bucket").select("bucket", "p", "k"))
+    wanted = materialize(apart.groupBy("p").agg(F.min("k").alias("k")))
+    sets = _shingle_sets(docs, wanted)
+    index = _index(apart, sets)
+    discard(apart, wanted)
+    for stars in (True, False):
+        rows = index.join(comps.select(F.col("id").alias("p"), "component"), "p", "left").withColumn("component", F.coalesce("component", "p"))
+        named = lambda side: rows.select(*_KEY, *(F.col(c).alias(f"{side}_{c}") for c in ("p", "component", "m", "marks")))
+        left, right = named("a"), named("b")
+        if stars:
+            least = rows.groupBy(*_KEY).agg(F.min(F.struct("p", "component", "m", "marks")).alias("q"))
+            right = least.select(*_KEY, *(F.col(f"q.{c}").alias(f"b_{c}") for c in ("p", "component", "m", "marks")))
+        else:
+            # Under a key of two sizes only paragraphs of different ones are asked for.
+            left, right = left.where("a_m = lo"), right.where("b_m = hi")
+        pairs = left.join(right, _KEY).where((F.col("a_component") != F.col("b_component")) & _alike())
+        pairs = materialize(pairs.select(F.least("a_p", "b_p").alias("a"), F.greatest("a_p", "b_p").alias("b")).distinct())
+        if not pairs.isEmpty():
+            links = links.unionByName(materialize(_verify(pairs, sets)))
+            comps = materialize(connected_components(links))
+        discard(pairs)
+    discard(index, sets)
+    return comps
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN, across: bool = True) -> DataFrame:
@@ -190,13 +249,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: i
     def links_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("p"), F.col("ka").alias("k")).unionByName(pairs.select(F.col("b").alias("p"), F.col("kb").alias("k")))
         wanted = materialize(ends.groupBy("p").agg(F.min("k").alias("k")))
-        return materialize(_verify(pairs.select("a", "b"), _shingle_sets(slim, wanted)))
+        sets = _shingle_sets(slim, wanted)
+        found = materialize(_verify(pairs.select("a", "b"), sets))
+        discard(wanted, sets)
+        return found
 
     links = links_of(stars)
     comps = materialize(connected_components(links))
-    more = _verified_rest(slim, met, comps)
-    if more is not None:
-        comps = materialize(connected_components(links.unionByName(more)))
+    discard(stars)
+    comps = _connect_rest(slim, met, links, comps)
     # Every paragraph that meets another in band 0 is there once; near ones that meet elsewhere only are added.
     linked = met.join(comps.select(F.col("id").alias("p"), "component"), "p", "left")
     spots = linked.groupBy("k", "th", "at", "n", "p").agg(F.max("component").alias("component"))

@@ -320,6 +320,26 @@ def test_near_paragraphs_that_agree_with_no_pivot(spark):
     assert found == {2 * int(i) + j: 14 + j for i in chosen for j in (0, 1)}
 
 
+def test_unlike_paragraphs_around_one_phrase(spark, monkeypatch):
+    """Paragraphs that differ in one of seven shingles are not near; their number of comparisons must not grow with its square."""
+    draw = random.Random(6)
+    make = lambda phrase, n: [f"{phrase} {sentence(draw, 2).replace(' ', '')}" for _ in range(n)]
+
+    def together(texts):
+        """The share of texts that are cut once at most, near their first word."""
+        p = substring_dedup.Paragraphs(pa.array(texts))
+        return ((np.bincount(p.owner) <= 2) & ((p.ends - p.starts)[np.searchsorted(p.owner, np.arange(len(texts)), "right") - 1] >= 11)).mean()
+
+    phrase = next(x for x in (sentence(draw, 14) for _ in range(1000)) if together(make(x, 50)) >= 0.8)
+    texts = make(phrase, 1200)
+    asked = []
+    real = substring_dedup._verify
+    monkeypatch.setattr(substring_dedup, "_verify", lambda pairs, sets: asked.append(pairs.count()) or real(pairs, sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    substring_dedup.repeats(docs, min_run=1).count()
+    assert sum(asked[1:]) <= len(texts)
+
+
 def shingle_jaccard(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
     return len(x & y) / len(x | y)
