@@ -277,6 +277,25 @@ def test_what_line_dedup_wrote_and_shuffled_goes(spark):
     assert {r.k for r in found.collect()} == set(range(40, 80))
 
 
+def test_workers_get_small_batches(spark):
+    """Whole texts and token sets go to Python workers a thousand at a time, and the session keeps its setting."""
+    from loomdex.llm._store import BATCH, materialize
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    for given in ("10000", "0", "700"):
+        before = spark.conf.get(BATCH)
+        spark.conf.set(BATCH, given)
+        try:
+            sizes = [r.n for r in materialize(spark.range(5000).coalesce(1).mapInArrow(run, "n long")).collect()]
+            assert spark.conf.get(BATCH) == given
+        finally:
+            spark.conf.set(BATCH, before)
+        assert sum(sizes) == 5000 and max(sizes) == min(int(given) or 1000, 1000)
+
+
 def test_passages(spark):
     draw = random.Random(10)
     clean = [(i, sentence(draw, draw.randint(30, 200))) for i in range(20)]
