@@ -261,6 +261,39 @@ def test_lines_of_a_large_group(spark):
     assert sum(len(r["__removed"]) for r in got) >= 50 and not next(r for r in got if r.doc_id == 0)["__removed"]
 
 
+def test_frequent_words_alone_bring_no_lines_together(spark, monkeypatch):
+    """Neither repeats of a word, nor two words in short lines, leave a pair of lines to compare later."""
+    draw = random.Random(18)
+    lines = []
+    for i in range(60):
+        w = [f"w{i}x{k}" for k in range(36)] + ["the", "of", "and", "to"] * 4
+        draw.shuffle(w)
+        lines += [" ".join(w), " ".join(["the", "of", "and", *(sentence(draw, 1) for _ in range(5))])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    pairs = []
+
+    def counted(df, **options):
+        out = _store.materialize(df, **options)
+        if df.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    assert line_dedup.removals(docs).count() == 0
+    assert len(pairs) >= 2 and sum(pairs) <= 6, pairs
+
+
+def test_word_edits_bound_the_edit_distance(spark):
+    draw = random.Random(19)
+    w = sentence(draw, 60).split()
+    near = [[*w[:9], "x", *w[10:]], [*w[:20], "more", *w[20:40], "y", *w[41:]], w[:30] + w[32:]]
+    rows = [(" ".join(w), " ".join(v)) for v in [*near, w, sentence(draw, 60).split(), w[::-1], w[:3]]]
+    words = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", "split(x, ' ') as u", "split(y, ' ') as v")
+    got = words.selectExpr(f"{line_dedup._edits('u', 'v')} as most", "levenshtein(x, y) as real", f"{line_dedup._most('x', 'y')} as allowed").collect()
+    assert all(r.most >= r.real for r in got)
+    assert all(r.most <= r.allowed for r in got[:4])
+
+
 def test_what_line_dedup_wrote_and_shuffled_goes(spark):
     shared = Path(_store.shared_dir(spark).removeprefix("file://"))
     blocks = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
