@@ -155,9 +155,13 @@ def _tokenize(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return ids, ptr, h, at
 
 
+def _sizes(text: str) -> F.Column:
+    """Tokens of a text, its end among them."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
+
+
 def _train(docs: DataFrame, model: Model, key: str, text: str, most: int, share: int) -> None:
     """Fits the model's network: a start on some texts, then blocks of all of them (or of one in ``share``)."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     part = model.tokens and 1.1 * most / model.tokens
     first = docs.where(draw < part).select(F.lit(0).cast("long").alias("block"), draw.alias("draw"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -166,7 +170,9 @@ def _train(docs: DataFrame, model: Model, key: str, text: str, most: int, share:
         return
     model.net, steps = pickle.loads(row.net)
     chosen = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(12), F.xxhash64(text)), F.lit(share)) == 0)
-    n = max(1, -(-int(chosen.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n) // most))
+    # The tokens of all training texts are counted already.
+    tokens = model.tokens if share == 1 else int(chosen.agg(F.coalesce(F.sum(_sizes(text)), F.lit(0)).alias("n")).first().n)
+    n = max(1, -(-tokens // most))
     block = F.pmod(F.xxhash64(F.col(key), F.lit(13), F.xxhash64(text)), F.lit(n))
     rows = chosen.select(block.alias("block"), draw.alias("draw"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     # A task for each block: dealt by hash, some tasks would train several.

@@ -321,3 +321,12 @@ def test_blocks_are_trained_in_tasks_of_their_own(spark):
     finally:
         lm._blocks = real
     assert len(tasks[1]) == 17 and set(tasks[1]) == {1}
+
+
+def test_training_texts_are_not_counted_again(spark, monkeypatch):
+    """The number of blocks follows from the tokens that are counted already."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    tokens = docs.agg(lm.F.sum(lm._sizes("text")).alias("n")).first().n if hasattr(lm, "_sizes") else None
+    monkeypatch.setattr(lm.F, "regexp_count", None)
+    model, _ = lm.fit(docs, fit_tokens=1000, n_words=64)
+    assert model.net is not None and model.tokens == tokens == 40 * 101 + 2
