@@ -294,6 +294,42 @@ def test_word_edits_bound_the_edit_distance(spark):
     assert all(r.most <= r.allowed for r in got[:4])
 
 
+def test_pieces_bound_the_edit_distance(spark):
+    """Lines with words put in and left out at many places are seen to be near without a distance of the whole lines."""
+    draw = random.Random(20)
+    lines = []
+    for n in (40, 90, 400):
+        w = sentence(draw, n).split()
+        v = [x for i, x in enumerate(w) if i % 19 != 5]
+        more = [y for i, x in enumerate(w) for y in ([x, "put"] if i % 9 == 3 else [x])]
+        lines += [(w, v), (w, more), (w, w)]
+    w = sentence(draw, 60).split()
+    far = [(w, sentence(draw, 60).split()), (w, w[::-1]), (w, w[30:] + w[:30]), (w, ["", "", *w[:40]]), (w[:3], w[:4]), (["ä ö ü"] * 9, ["ä ö ü"] * 12)]
+    rows = [(" ".join(u), " ".join(v)) for u, v in [*lines, *far]]
+    words = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", "split(x, ' ') as u", "split(y, ' ') as v")
+    got = words.select(F.expr(f"{line_dedup._cut('x', 'u', 'y')} as most"), F.expr(f"{line_dedup._edits('u', 'v')} as plain"), F.expr("levenshtein(x, y) as real"), F.expr(f"{line_dedup._most('x', 'y')} as allowed"), line_dedup._near("x", "y").alias("near")).collect()
+    assert all(r.most >= r.real for r in got)
+    assert all(r.most <= r.allowed for r in got[:9]) and any(r.plain > r.allowed for r in got[:9])
+    # Beginnings reject no pair that is near.
+    assert all(r.near == (r.real <= r.allowed) for r in got)
+
+
+def test_lines_that_meet_no_other_are_not_signed(spark, monkeypatch):
+    draw = random.Random(21)
+    lines = [sentence(draw) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*lines, lines[0] + " more", lines[1]])), "doc_id long, text string")
+    seen = {}
+
+    def kept(df, **options):
+        out = _store.materialize(df, **options)
+        seen[tuple(df.columns)] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    assert {r.k for r in line_dedup.removals(docs).collect()} == {30, 31}
+    assert seen[("k", "th", "pos", "h", "buckets")] == 32 and seen[("h", "norm", "n", "len", "sim")] == 2
+
+
 def test_what_line_dedup_wrote_and_shuffled_goes(spark):
     shared = Path(_store.shared_dir(spark).removeprefix("file://"))
     blocks = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
