@@ -314,6 +314,35 @@ def test_pieces_bound_the_edit_distance(spark):
     assert all(r.near == (r.real <= r.allowed) for r in got)
 
 
+def test_long_stretches_and_common_ends(spark):
+    """One long stretch put in is seen to be near from pieces alone, and common ends change no decision."""
+    draw = random.Random(23)
+    w = sentence(draw, 400).split()
+    put = [*w[:200], *sentence(draw, 25).split(), *w[200:]]
+    a, b = sentence(draw, 40), sentence(draw, 40)
+    others = [(a, b), (f"{a} {b} {a}", f"{a} {b[::-1]} {a}"), (a, a), ("", a), (f"{a} {b}", f"{b} {a}"), (f"ä {a} ö", f"ä {a[9:]} ö"), ("aaaa", "aaaaa"), ("abab", "ab")]
+    rows = [(" ".join(w), " ".join(put)), *others, *((y, x) for x, y in others)]
+    words = spark.createDataFrame(rows, "x string, y string").selectExpr("x", "y", "split(x, ' ') as u")
+    got = words.select(F.expr(f"{line_dedup._cut('x', 'u', 'y')} as most"), F.expr("levenshtein(x, y) as real"), F.expr(f"{line_dedup._most('x', 'y')} as allowed"), line_dedup._near_within("x", "y").alias("near")).collect()
+    assert got[0].real <= got[0].most <= got[0].allowed and all(r.most >= r.real for r in got)
+    assert all(r.near == (r.real <= r.allowed) for r in got)
+
+
+def test_blocks_without_a_lambda_for_each_word(spark):
+    """Only short lines less a word each are interpreted; rows alike and lines of punctuation have rows of their own."""
+    draw = random.Random(24)
+    a, b = sentence(draw, 50), sentence(draw, 6)
+    docs = spark.createDataFrame([(1, f"{a}\n{b}\n..."), (1, f"{a}\n{b}\n..."), (2, f"{a} {a}"), (3, None)], "doc_id long, text string")
+    signed = line_dedup.signed(docs)
+    # Two lambdas, and what stands in one is named so again.
+    assert signed._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") <= 2
+    got = [(r.k, r.pos, sorted(r.buckets)) for r in signed.collect()]
+    assert len(got) == 7 and all(got.count(x) == 2 for x in got if x[0] == 1)
+    first, twice = (next(set(x[2]) for x in got if x[:2] == at) for at in ((1, 0), (2, 0)))
+    assert len(first) >= 5 and all(len(x[2]) >= 7 for x in got if x[:2] == (1, 1)) and not any(x[2] for x in got if x[:2] == (1, 2))
+    assert len(twice) >= 5
+
+
 def test_lines_that_meet_no_other_are_not_signed(spark, monkeypatch):
     draw = random.Random(21)
     lines = [sentence(draw) for _ in range(30)]
